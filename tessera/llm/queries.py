@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, packing, token_counts
+from tessera.llm import fingerprints, licenses, packing, simhash_dedup, token_counts
 from tessera.sources.tables import read_table
 
 QUERIES = {}
@@ -31,7 +31,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+@query()
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
 @query()
@@ -48,3 +50,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(read_table(spark, sf_dir, "documents"), radius=7)
