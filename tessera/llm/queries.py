@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, packing, secret_scan, simhash_dedup, token_counts
+from tessera.llm import fingerprints, licenses, packing, pii, secret_scan, simhash_dedup, token_counts
 from tessera.sources.tables import read_table
 
 QUERIES = {}
@@ -60,3 +60,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
