@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, packing, pii, secret_scan, simhash_dedup, token_counts
+from tessera.llm import decontaminate, fingerprints, licenses, packing, pii, secret_scan, simhash_dedup, token_counts
 from tessera.sources.tables import read_table
 
 QUERIES = {}
@@ -65,3 +65,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), words=5, similarity=0.8)
