@@ -103,9 +103,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.tokens import WordEncoder
+        from tessera.llm.tokens import shared_encoder
 
-        encoder, tail = WordEncoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = shared_encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
