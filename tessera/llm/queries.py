@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, licenses, packing, pii, secret_scan, simhash_dedup, token_counts
+from tessera.llm import decontaminate, fingerprints, html_wrap, licenses, packing, pii, quality, secret_scan, simhash_dedup, token_counts
+from tessera.session import durable
 from tessera.sources.tables import read_table
 
 QUERIES = {}
@@ -70,3 +71,15 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), words=5, similarity=0.8)
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train_model(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_wrap.extract_pages(pages, durable(html_wrap.induce_wrappers(pages), "wrappers"))
