@@ -101,8 +101,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, words: int = 5, similarity:
     return result.select(id_col, "item_id", "b.similarity", (-F.col("b.first")).cast("bigint").alias("start_word"), F.col("b.n_words").cast("bigint").alias("n_words"))
 
 
-def without_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+def without_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = 2_000_000, **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; texts decide, so ids may be null or repeated.
+
+    The keys of contaminated texts are broadcast up to ``broadcast_keys``.
+    """
     numbered = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     found = contaminated(numbered.select(F.col("_key").alias("doc_id"), F.col(text_col).alias("text")), bench, **options)
-    return numbered.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    keys = durable(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    keys = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+    return numbered.join(keys, "_key", "left_anti").select(*docs.columns)

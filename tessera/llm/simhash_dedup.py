@@ -73,3 +73,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     linked = linked.join(lows, "component").select("fp", "component_id")
     names = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return fps.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each near-duplicate group.
+
+    Of repeated rows of a kept id one stays. Documents without an id cannot be named in a
+    group's outcome and stay. The dropped ids are broadcast up to ``broadcast_rows``.
+    """
+    groups = durable(near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, radius, id_col, text_col), "groups")
+    first = groups.filter(F.col(id_col) == F.col("component_id"))
+    gone = durable(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+    repeated = durable(first.groupBy(id_col).count().filter("count > 1").select(id_col), "repeated")
+    hint = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    # of an id that stands for several texts all go if one of them is dropped
+    kept = docs.join(hint(gone), id_col, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(hint(repeated), id_col, "left_anti").select(*docs.columns)
+    return single.union(kept.join(hint(repeated), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))

@@ -17,7 +17,7 @@ def test_prior_and_risk():
 
 
 def test_score_documents(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality.train_model(docs, labels)
     odd = [(5000, None), (5001, ""), (None, "x y"), (5002, "word " * 50_000), (5002, "word " * 50_000)]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id bigint, text string")).selectExpr("*", "1 AS value", "2 AS score")
