@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import relational
+from tessera.plans import relational, scalars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (relational,):
+for _module in (relational, scalars):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
