@@ -35,8 +35,11 @@ def _shingles(hashes: Column, width: int) -> Column:
 
 
 def _fingerprint(shingles: Column) -> Column:
-    bit = lambda b: F.when(2 * F.aggregate(shingles, F.lit(0), lambda n, h: n + F.getbit(h, b)) > F.size(shingles), F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: (F.call_function("shiftleft", a, F.lit(1))).bitwiseOR(bit(b)))
+    def print_of(s: Column) -> Column:
+        bit = lambda b: F.when(2 * F.aggregate(s, F.lit(0), lambda n, h: n + F.getbit(h, b)) > F.size(s), F.expr("1L")).otherwise(F.expr("0L"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: F.call_function("shiftleft", a, F.lit(1)).bitwiseOR(bit(b)))
+
+    return let(shingles, print_of)
 
 
 def benchmark_index(bench: DataFrame, words: int, item_col: str, text_col: str) -> DataFrame:
@@ -82,11 +85,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, words: int = 5, similarity:
     enough = windows.groupBy("key", "item_id").agg(F.sum("hits").alias("hits")).join(totals, "item_id")
     enough = enough.filter(F.col("hits") >= 0.999 * similarity * F.col("total")).select("key", "item_id")
     chosen = windows.join(enough, ["key", "item_id"]).groupBy("key").agg(F.collect_set(F.struct("item_id", "width", "m", "start")).alias("w"))
-    one = keyed.select("key", "text").join(chosen, "key").dropDuplicates(["key"])
-    hashed = one.select("key", _word_hashes(F.col("text")).alias("hashes"), F.explode("w").alias("w"))
-    cut = F.slice("hashes", F.col("w.start") + 1, F.col("w.m") + F.col("w.width") - 1)
-    window = reduce(lambda rest, w: F.when(F.col("w.width") == w, _shingles(cut, w)).otherwise(rest), widths, F.array().cast("array<bigint>"))
-    printed = hashed.select("key", "w.item_id", "w.width", "w.start", window.alias("window")).withColumn("fp", _fingerprint(F.col("window")))
+    chosen = durable(chosen, "chosen")
+    # few texts hold much of an item; only their words are cut into windows
+    held_in = keyed.select("key", "text").join(F.broadcast(chosen) if windows.count() <= broadcast_rows // 8 else chosen, "key")
+    part = lambda h, w: F.slice(h, w["start"] + 1, w["m"] + w["width"] - 1)
+    cuts = let(_word_hashes(F.col("text")), lambda h: F.transform("w", lambda w: F.struct(w["item_id"].alias("item_id"), w["width"].alias("width"), w["start"].alias("start"), part(h, w).alias("words"))))
+    cut = held_in.select("key", F.inline(cuts)).dropDuplicates(["key", "item_id", "start"])
+    window = reduce(lambda rest, w: F.when(F.col("width") == w, _shingles(F.col("words"), w)).otherwise(rest), widths, F.array().cast("array<bigint>"))
+    printed = durable(cut.select("key", "item_id", "width", "start", window.alias("window")).withColumn("fp", _fingerprint(F.col("window"))), "printed")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     on_a_block = reduce(lambda a, b: a | b, (apart.bitwiseAND(F.lit(m[0])) == 0 for m in block_masks(64, radius, radius + 1)))
     close = printed.join(items.select("item_id", "item_fp"), "item_id").filter(on_a_block & (F.bit_count(apart) <= radius))
