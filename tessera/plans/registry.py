@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import relational, scalars
+from tessera.plans import relational, scalars, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (relational, scalars):
+for _module in (relational, scalars, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

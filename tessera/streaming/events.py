@@ -68,12 +68,24 @@ def running_totals(df: DataFrame, key: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source holds now and return its rows (complete mode: the last result)."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    at = f"{shared_dir(spark)}/{name}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
+    """Run a stream over what its source holds now and return its rows (complete mode: the last result).
+
+    Each batch is written by the executors to a folder of its own in the shared folder, so a
+    batch that is run again replaces itself and nothing passes through the driver.
+    """
+    spark = stream.sparkSession
+    at, done = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    numbers = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{at}/out/{n}" for n in numbers))
 
 
 def run_to_files(stream: DataFrame, path: str) -> DataFrame:
