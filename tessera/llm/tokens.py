@@ -25,7 +25,7 @@ _SPLIT = re.compile("[ \n]+")
 class WordEncoder:
     """Text to the ids' little-endian unsigned 32-bit bytes. ``max_words`` bounds the cache, not the result."""
 
-    def __init__(self, vocabulary: str, max_words: int = 900_000):
+    def __init__(self, vocabulary: str, max_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -78,8 +78,8 @@ class WordEncoder:
             self.words = {w: b for w, b in self.words.items() if len(b) <= 8}  # short words come again soonest
             if len(self.words) > self.max_words // 2:
                 self.words = {}
-        known = self.words.keys()
-        self._learn(list(plain - known), list(raw - plain - known))
+        # difference(dict) looks each word up; a set minus a keys view would walk the whole cache
+        self._learn(list(plain.difference(self.words)), list(raw.difference(plain).difference(self.words)))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
