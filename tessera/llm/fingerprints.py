@@ -1,4 +1,4 @@
-"""Document fingerprints: 128-bit SimHash of weighted terms, permuted block tables for the search."""
+"""Document fingerprints: 256-bit SimHash of weighted terms, permuted block tables for the search."""
 
 from __future__ import annotations
 
@@ -14,24 +14,29 @@ from pyspark.sql import functions as F
 from tessera.llm.hamming import neighbour_counts
 from tessera.session import durable
 
-BITS = 128
+BITS = 256
 _BATCH = 256
 
 
 def term_simhash(text: str) -> bytes:
-    """128-bit SimHash: lower-cased words are terms of weight 1 + ln(count); each term's hash bits vote for or against."""
+    """256-bit SimHash: lower-cased words are terms, each term's hash bits vote for or against.
+
+    A term weighs 1 + ln(count) times its length up to 10, so short function words, which
+    unrelated texts share, count for less. A text without words has only zeros.
+    """
     import numpy as np
     from xxhash import xxh3_128_digest
 
     counts = Counter(text.lower().split())
     if not counts:
-        return bytes(16)
-    digests = b"".join([xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in counts])
+        return bytes(BITS // 8)
+    terms = [t.encode("utf-8", "surrogatepass") for t in counts]
+    digests = np.frombuffer(b"".join([xxh3_128_digest(t) + xxh3_128_digest(t, 1) for t in terms]), np.uint8).reshape(-1, BITS // 8)
     weights = 1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))
+    weights *= np.minimum(np.fromiter(map(len, counts), np.float32, len(counts)), 10)
     votes = np.zeros(BITS, np.float64)
     for at in range(0, len(weights), 16384):
-        own = np.frombuffer(digests, np.uint8)[16 * at : 16 * (at + 16384)].reshape(-1, 16)
-        votes += weights[at : at + 16384] @ np.unpackbits(own, axis=1).astype(np.float32)
+        votes += weights[at : at + 16384] @ np.unpackbits(digests[at : at + 16384], axis=1).astype(np.float32)
     return np.packbits(2 * votes > weights.sum(dtype=np.float64)).tobytes()
 
 
@@ -115,8 +120,8 @@ def count_near(prints: DataFrame, radius: int = 7, column: str = "fingerprint")
 
     ``prints`` must be a stored table. Equal fingerprints are counted as a class, not paired.
     """
-    halves = [F.conv(F.substring(column, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(2)]
-    words = ["w0", "w1"]
+    halves = [F.conv(F.substring(column, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(BITS // 64)]
+    words = [f"w{i}" for i in range(BITS // 64)]
     split = prints.select("*", *halves)
     classes = split.groupBy(*words).agg(F.count("*").alias("n"))
     near = neighbour_counts(classes, words, "n", radius, radius + 1)
