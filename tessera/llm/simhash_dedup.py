@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hamming import linking_edges
+from tessera.llm.shingle_links import link_similar
 from tessera.operators.graph import connected_components
 from tessera.session import durable
 
@@ -40,7 +41,7 @@ def shingle_simhash(text: str, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint) per document; a null text is an empty one."""
+    """(id, fp bigint, key bigint, the hash of the text) per document; a null text is an empty one."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -50,15 +51,18 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             for at in range(0, batch.num_rows, _BATCH):
                 rows = batch.slice(at, _BATCH)
                 fps = np.array([shingle_simhash(t or "", words) for t in rows.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), rows.column(2)], names=[id_col, "fp", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col), F.col(text_col), key).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, key bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Per document: fingerprint (16 hex digits) and component_id, the smallest id reachable over links of ``radius`` bits.
 
+    With ``similarity``, texts whose sets of 5-word shingles have that Jaccard similarity or more are linked as well.
+
     Equal fingerprints are one node, so copies cost one row each and are never paired.
     Documents without words have fingerprint 0 and link like any other. A null id keeps
     its row; component_id is null only where no id of the component is known. Repeated
@@ -68,20 +72,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
     many = fps.count() > 1 << 24
     edges = linking_edges(classes, "fp", 64, radius, radius + (2 if many else 1))
-    linked = classes.join(connected_components(edges).withColumnRenamed("node", "fp"), "fp")
+    if similarity is None:
+        components = connected_components(edges)
+    else:
+        texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+        nodes = durable(fps.groupBy("key").agg(F.first("fp").alias("node")), "nodes")
+        components = durable(link_similar(texts, nodes, edges, similarity), "components")
+    linked = classes.join(components.withColumnRenamed("node", "fp"), "fp")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = linked.join(lows, "component").select("fp", "component_id")
     names = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return fps.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each near-duplicate group.
 
+    Links are those of fingerprints within ``radius`` bits and those of texts of that
+    ``similarity`` (Jaccard, 5-word shingles), however far their fingerprints are apart.
+
     Of repeated rows of a kept id one stays. Documents without an id cannot be named in a
     group's outcome and stay. The dropped ids are broadcast up to ``broadcast_rows``.
     """
-    groups = durable(near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, radius, id_col, text_col), "groups")
+    groups = durable(near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, radius, id_col, text_col, similarity), "groups")
     first = groups.filter(F.col(id_col) == F.col("component_id"))
     gone = durable(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
     repeated = durable(first.groupBy(id_col).count().filter("count > 1").select(id_col), "repeated")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -50,3 +51,44 @@ def test_run_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, None, 3, 4}
     assert keep_one(docs).filter("doc_id = 3").count() == 1
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dedup_drops_near_copies(spark, sf_dir):
+    rng, texts = random.Random(3), []
+    for n in (5, 40, 60, 90, 200, 300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(60):  # neighbours are similar, ends are not; all share one passage
+        texts.append(" ".join(chain[: 100 - i] + [f"d{j}" for j in range(i)]))
+    texts += [" ".join(["one common line of the house"] + [f"u{i}x{j}" for j in range(30)]) for i in range(50)] + ["", "a b", "A  b", "a b c"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    fps, sets, root = [shingle_simhash(t) for t in texts], [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    only_jaccard = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= 4, 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0
+            only_jaccard += alike and not near
+            if near or alike:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert only_jaccard > 20
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert got == {i for i in range(len(texts)) if find(i) == i}
