@@ -24,7 +24,7 @@ BASE = {
 LINKED = {
     "identifier": r"(?i)(?<![a-z])(client_?id|user_?name|user|login|account_?id|access_?key_?id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9@._-]{3,}",
     "endpoint": r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._:@/?&=%-]{4,}",
-    "weak": r"(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])",
+    "weak": r"(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])",
 }
 KINDS = [*BASE, *LINKED]
 
