@@ -1,10 +1,9 @@
 """Benchmark decontamination in built-in functions only.
 
-Item-sized windows of a document get 64-bit SimHash fingerprints. R + 1 bit blocks index
-them: a window within R bits of an item agrees with it on some block (pigeonhole), so
-testing the pairs that agree on a block finds every pair within R. Exact weighted-shingle
-similarity then decides. Only windows that share a shingle with an item are fingerprinted
-(others have similarity 0), aligned so that the shared shingle lies where the item has it.
+Only item-sized windows that share a shingle with an item are looked at (others have
+similarity 0), aligned so that the shared shingle lies where the item has it. Exact
+weighted-shingle similarity decides on all of them. Fingerprints take no part: the shared
+shingles name the candidates already, so a test of Hamming distance could only lose some.
 
 Similarity of a window to an item: the weight of the item's shingles that the window
 holds (counted with repeats) over the weight of all of them; a shingle weighs
@@ -18,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hamming import block_masks
 from tessera.llm.spans import let
 from tessera.session import durable
 
@@ -34,23 +32,15 @@ def _shingles(hashes: Column, width: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: at(h, i))).otherwise(F.array().cast("array<bigint>")))
 
 
-def _fingerprint(shingles: Column) -> Column:
-    def print_of(s: Column) -> Column:
-        bit = lambda b: F.when(2 * F.aggregate(s, F.lit(0), lambda n, h: n + F.getbit(h, b)) > F.size(s), F.expr("1L")).otherwise(F.expr("0L"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: F.call_function("shiftleft", a, F.lit(1)).bitwiseOR(bit(b)))
-
-    return let(shingles, print_of)
-
-
 def benchmark_index(bench: DataFrame, words: int, item_col: str, text_col: str) -> DataFrame:
-    """Per item: width (``words``, or all of a shorter item), shingles and fingerprint. Items without words are left out."""
+    """Per item: width (``words``, or all of a shorter item) and shingles. Items without words are left out."""
     hashed = bench.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), _word_hashes(F.coalesce(F.col(text_col), F.lit(""))).alias("hashes")).filter(F.size("hashes") > 0)
     width = F.least(F.size("hashes"), F.lit(words))
     shingles = reduce(lambda rest, w: F.when(width == w, _shingles(F.col("hashes"), w)).otherwise(rest), range(1, words + 1), F.array().cast("array<bigint>"))
-    return hashed.select("item_id", width.alias("width"), shingles.alias("item")).dropDuplicates(["item_id"]).withColumn("item_fp", _fingerprint(F.col("item")))
+    return hashed.select("item_id", width.alias("width"), shingles.alias("item")).dropDuplicates(["item_id"])
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, broadcast_rows: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, words: int = 5, similarity: float = 0.8, broadcast_rows: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, similarity, start_word, n_words (of the window).
 
     Of several windows the most similar, then the first is reported. Copies of a text
@@ -92,12 +82,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, words: int = 5, similarity:
     cuts = let(_word_hashes(F.col("text")), lambda h: F.transform("w", lambda w: F.struct(w["item_id"].alias("item_id"), w["width"].alias("width"), w["start"].alias("start"), part(h, w).alias("words"))))
     cut = held_in.select("key", F.inline(cuts)).dropDuplicates(["key", "item_id", "start"])
     window = reduce(lambda rest, w: F.when(F.col("width") == w, _shingles(F.col("words"), w)).otherwise(rest), widths, F.array().cast("array<bigint>"))
-    printed = durable(cut.select("key", "item_id", "width", "start", window.alias("window")).withColumn("fp", _fingerprint(F.col("window"))), "printed")
-    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    on_a_block = reduce(lambda a, b: a | b, (apart.bitwiseAND(F.lit(m[0])) == 0 for m in block_masks(64, radius, radius + 1)))
-    close = printed.join(items.select("item_id", "item_fp"), "item_id").filter(on_a_block & (F.bit_count(apart) <= radius))
-
-    held = close.select("key", "item_id", "start", F.size("window").alias("size"), "width", F.explode("window").alias("h"))
+    shingled = cut.select("key", "item_id", "width", "start", window.alias("window"))
+    held = shingled.select("key", "item_id", "start", F.size("window").alias("size"), "width", F.explode("window").alias("h"))
     held = held.groupBy("key", "item_id", "start", "size", "width", "h").agg(F.count("*").alias("n_window"))
     shared = held.join(per_item, ["item_id", "h"])
     scored = shared.groupBy("key", "item_id", "start", "size", "width").agg(F.sum(F.least("n", "n_window") * F.col("weight")).alias("shared")).join(totals, "item_id")

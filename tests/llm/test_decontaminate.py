@@ -59,3 +59,14 @@ def test_equals_brute_force(spark, sf_dir):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(k) for k, t in docs if str(k) not in bad)
     assert contaminated(d.limit(0), b).count() == 0
     assert contaminated(d, b.limit(0)).count() == 0
+
+
+def test_items_that_share_most_of_their_wording(spark):
+    stem = [f"stem{i}" for i in range(28)]
+    bench = [(i, " ".join(stem + [f"own{i}x{j}" for j in range(16)])) for i in range(10)]
+    # windows with an item's own words after other ones: few shared shingles, most of the weight
+    docs = [(i, " ".join(f"pre{i}x{j}" for j in range(40)) + " " + " ".join(stem[24:] + [f"own{i % 10}x{j}" for j in range(16)])) for i in range(30)]
+    docs += [(100 + i, " ".join(stem + [f"other{i}x{j}" for j in range(16)])) for i in range(5)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.similarity, r.start_word) for r in got) == brute(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 10) for i in range(30)}
