@@ -53,26 +53,51 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, seconds:
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= value < high for numeric columns, by buckets of ``width``: each range is listed in the buckets it touches."""
-    p = points.withColumn("_b", F.floor(F.col(value) / width))
-    spans = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_b", F.explode(spans))
-    joined = p.join(r, "_b").filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
-    return joined.drop("_b")
+    """Pairs with low <= value < high for numeric columns, an equi-join on buckets.
+
+    Buckets come in levels, each twice as wide as the one before, the first ``width`` wide. A
+    range is listed at the level of its own length, in at most three buckets however wide it
+    is; a point is listed once for each level that some range has. Null bounds and values match nothing.
+    """
+    at = lambda c, level: F.floor(c / (F.lit(float(width)) * F.pow(F.lit(2.0), level)))
+    length = (F.col(high) - F.col(low)) / F.lit(float(width))
+    level = F.greatest(F.ceil(F.log2(length)), F.lit(0)).cast("int")
+    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_level", level)
+    r = r.withColumn("_b", F.explode(F.sequence(at(F.col(low), F.col("_level")), at(F.col(high), F.col("_level")))))
+    levels = sorted(x[0] for x in r.select("_level").distinct().collect())  # at most one a power of two
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    joined = p.withColumn("_b", at(F.col(value), F.col("_level"))).join(r, ["_level", "_b"])
+    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_level", "_b")
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join of a large side with hot keys: its rows are dealt over ``salts`` copies of the other side's.
 
-    ``how``: inner, left, left_semi or left_anti (the large side is the left one).
+    The salt is a hash of the row, so a task that runs again deals it alike; equal rows share
+    a salt. ``how``: inner, left, left_semi or left_anti (the large side is the left one).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join can't be {how}: the copies of the small side would be matched one by one")
-    dealt = large.withColumn("_salt", (F.rand(11) * salts).cast("int"))
+    hashed = [f.name for f in large.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def counted_join(large: DataFrame, small: DataFrame, keys: list[str], count: str, share: int = 100_000) -> DataFrame:
+    """Inner equi-join with one row per key that says, in ``count``, how many rows of the large side have the key.
+
+    Keys with more than one of ``share`` of all rows are at most ``share``, whatever the
+    tables' size: they are broadcast, so no hot key lands in one task. The other keys are
+    joined by shuffle. ``large`` and ``small`` are read twice; store them first.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = small.filter(F.col(count) > total / share)
+    cold = small.filter(F.col(count) <= total / share)
+    near = large.join(F.broadcast(hot), keys)
+    return near.union(large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*near.columns))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits groups before the shuffle as well as after it."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -170,17 +170,17 @@ def signups_after_errors(spark, sf_dir):
     return joins.interval_join(part("error"), part("signup"), "user_id", "ts", 3600).select("event_id", "r_event_id")
 
 
-@query("SELECT p_partkey, b.low, b.high FROM part JOIN (SELECT DISTINCT p_size::DOUBLE * 20 AS low, p_size::DOUBLE * 20 + 55 AS high FROM part WHERE p_size % 3 = 0) b ON p_retailprice >= b.low AND p_retailprice < b.high")
+@query("SELECT p_partkey, b.low, b.high FROM part JOIN (SELECT DISTINCT p_size::DOUBLE * 20 AS low, p_size::DOUBLE * 20 + 55 AS high FROM part ) b ON p_retailprice >= b.low AND p_retailprice < b.high")
 def price_bands(spark, sf_dir):
     part = read_table(spark, sf_dir, "part")
     low = F.col("p_size").cast("double") * 20
-    bands = part.filter("p_size % 3 = 0").select(low.alias("low"), (low + 55).alias("high")).distinct()
+    bands = part.select(low.alias("low"), (low + 55).alias("high")).distinct()
     return joins.range_join(part.select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 50.0).select("p_partkey", F.col("low"), F.col("high"))
 
 
-@query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 48")
+@query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def salted_suppliers(spark, sf_dir):
-    lines = read_table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
     return joins.salted_join(lines, read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select("l_orderkey", "l_linenumber", "s_name")
 
 
