@@ -4,7 +4,8 @@ Base patterns report strong findings by themselves. Weak parts (client identifie
 endpoints, unnamed random strings) are common in clean text; they are reported only where
 an interval join inside the text finds complementary parts within a scope: a weak secret
 near an identifier or endpoint, an identifier or endpoint near a secret. A scope never
-leaves its document, so the join runs on the row's sorted part lists and shuffles nothing.
+leaves its document, so the join is a sweep over the row's parts in order of their start (the
+greatest end so far, the least start to come) and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.spans import joined, let, match_spans, overlaps, rank, redact, spans_where
+from tessera.llm.spans import fresh, joined, keep_flagged, match_spans, near_class, no_spans, rank, redact, spans_where
 
 #: Base kinds in reporting order, and their patterns.
 BASE = {
@@ -39,41 +40,50 @@ def base_spans(text: Column) -> Column:
     return F.concat(long_enough, access, runs)
 
 
-def linked_spans(text: Column, base: Column, scope: int) -> Column:
-    """Weak parts whose complement lies within ``scope`` code points; parts of base findings aren't repeated."""
-    own = lambda spans: F.filter(spans, lambda s: ~F.exists(base, lambda b: overlaps(s, b)))
-    near = lambda s, parts: F.exists(parts, lambda p: overlaps(s, p, scope))
-    found = F.struct(
-        own(spans_where(text, LINKED["identifier"], "identifier", text.rlike(r"[:=]"))).alias("ids"),
-        own(spans_where(text, LINKED["endpoint"], "endpoint", text.contains("://"))).alias("ends"),
-        F.filter(base, lambda b: b["kind"] == "access").alias("keys"),
-        F.filter(base, lambda b: b["kind"] != "access").alias("strong"),
-    )
-
-    def join(p: Column) -> Column:
-        some = (F.size(p["ids"]) > 0) | (F.size(p["ends"]) > 0) | (F.size(p["keys"]) > 0)
-        weak = own(F.when(some, match_spans(text, LINKED["weak"], "weak")).otherwise(F.slice(p["ids"], 1, 0)))
-        outer = let(F.filter(weak, lambda s: ~F.exists(p["ends"], lambda e: overlaps(s, e))), lambda w: F.struct(
-            F.filter(w, lambda s: near(s, p["keys"]) | near(s, p["ids"]) | near(s, p["ends"])).alias("weak"),
-        ))
-        return let(outer, lambda o: let(F.concat(p["strong"], o["weak"]), lambda secrets: F.concat(
-            o["weak"],
-            F.filter(p["ids"], lambda s: near(s, secrets)),
-            F.filter(p["ends"], lambda s: near(s, secrets) & (near(s, p["ids"]) | near(s, p["keys"]))),
-        )))
+def add_linked(docs: DataFrame, text: Column, base: str, out: str, scope: int) -> DataFrame:
+    """Add the column ``out``: weak parts whose complement lies within ``scope`` code points; parts of base findings aren't repeated.
 
-    return let(found, join)
+    A weak secret needs an identifier, access key or endpoint, an identifier needs a secret,
+    an endpoint a secret and an identifier or access key. Each step rewrites the column, which
+    is sorted by start.
+    """
+    kind = lambda *names: lambda s: s["kind"].isin(*names)
+    secret = ("assign", "hex", "weak")
+    possible = F.col(base).isNotNull() & ((F.size(base) > 0) | text.rlike(r"[:=]"))
+    parts = F.concat(
+        F.col(base),
+        spans_where(text, LINKED["identifier"], "identifier", text.rlike(r"[:=]")),
+        spans_where(text, LINKED["endpoint"], "endpoint", text.contains("://")),
+    )
+    weak = F.when(F.exists(out, kind("access", "identifier", "endpoint")), match_spans(text, LINKED["weak"], "weak")).otherwise(no_spans())
+    drop = lambda names, near, reach: keep_flagged(F.col(out), near_class(F.col(out), kind(*near), reach), lambda s, close: ~close | ~s["kind"].isin(*names))
+    need = lambda names, near, reach: keep_flagged(F.col(out), near_class(F.col(out), kind(*near), reach), lambda s, close: close | ~s["kind"].isin(*names))
+    both = F.zip_with(near_class(F.col(out), kind("access", "identifier"), scope), near_class(F.col(out), kind(*secret), scope), lambda x, y: F.struct(x.alias("id"), y.alias("secret")))
+    due = lambda s, f: F.when(s["kind"] == "endpoint", f["id"] & f["secret"]).when(s["kind"] == "identifier", f["secret"]).otherwise(s["kind"] == "weak")
+    steps = (
+        F.when(possible, F.array_sort(parts)).otherwise(no_spans()),
+        drop(("identifier", "endpoint"), BASE, 0),
+        F.array_sort(F.concat(F.col(out), weak)),
+        drop(("weak",), BASE, 0),
+        drop(("weak",), ("endpoint",), 0),
+        need(("weak",), ("access", "identifier", "endpoint"), scope),
+        # identifiers without a secret still stand for an endpoint's counterpart, so one step decides on both
+        keep_flagged(F.col(out), both, due),
+    )
+    for step in steps:
+        docs = docs.withColumn(out, step)
+    return docs
 
 
-def scan_secrets(docs: DataFrame, scope: int = 200, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_linked``, arrays of (start, kind, end, text).
+def scan_secrets(docs: DataFrame, scope: int = 200, text_col: str = "text", names: tuple[str, str] = ("secret_base", "secret_linked")) -> DataFrame:
+    """``docs`` with the columns ``names`` of base and linked findings, arrays of (start, kind, end, text).
 
-    A null text is an empty one. All other columns stay (a column of either name is replaced).
+    A null or empty text has none. All other columns stay (a column of either name is
+    replaced); repeated rows stay repeated.
     """
+    base, linked = names
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_base = docs.withColumn("secret_base", base_spans(text))
-    possible = F.col(text_col).rlike(r"[:=]") | (F.size("secret_base") > 0)
-    return with_base.withColumn("secret_linked", F.when(possible, linked_spans(text, F.col("secret_base"), scope)).otherwise(F.slice("secret_base", 1, 0)))
+    return add_linked(docs.withColumn(base, base_spans(text)), text, base, linked, scope)
 
 
 def secret_report(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,11 +94,12 @@ def secret_report(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", tex
     found = scan_secrets(docs.select(id_col, text_col), scope, text_col)
     return found.select(
         id_col, *map(count, BASE), F.sha2(joined(base, key), 256).alias("base_sha256"),
-        joined(every, key).alias("spans"), F.size("secret_linked").cast("bigint").alias("n_linked"),
+        joined(every, key).alias("spans"), F.size("secret_linked").cast("bigint").alias("n_linked"), F.size(every).cast("bigint").alias("n_found"),
     )
 
 
 def mask_secrets(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with every finding in the text replaced by ``mark``; a null text stays null."""
-    found = scan_secrets(docs, scope, text_col)
-    return found.withColumn(text_col, redact(F.col(text_col), F.concat("secret_base", "secret_linked"), mark)).drop("secret_base", "secret_linked")
+    """``docs`` with every finding in the text replaced by ``mark``; a null text stays null, and all other columns stay."""
+    names = fresh("secret_base", docs.columns), fresh("secret_linked", docs.columns)
+    found = scan_secrets(docs, scope, text_col, names)
+    return found.withColumn(text_col, redact(F.col(text_col), F.concat(*names), mark)).drop(*names)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 256
+_PIECE = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,27 +16,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _running(numbers: Column, whole: Callable[[Column], Column], two: Callable[[Column, Column], Column]) -> Column:
+    """Running aggregate of an array, each element included. Blocks are aggregated first, so it costs little more than linearly."""
+    one = lambda b: F.slice(b["n"], b["i"] * _BLOCK + 1, _BLOCK)
+
+    def with_blocks(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda i: whole(one({"n": n, "i": i})))
+        before = let(blocks, lambda b: F.transform(b, lambda _, i: F.when(i > 0, whole(F.slice(b, F.lit(1), i)))))
+        return let(before, lambda b: F.transform(n, lambda _, i: let(F.floor(i / _BLOCK).cast("int"), lambda k: two(F.get(b, k), whole(F.slice(n, k * _BLOCK + 1, i % _BLOCK + 1))))))
+
+    return let(numbers, lambda n: F.when(F.size(n) > 0, with_blocks(n)).otherwise(n))
+
+
+def running_sum(numbers: Column) -> Column:
+    return _running(numbers, lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x), lambda a, b: F.coalesce(a, F.lit(0)) + b)
+
+
+def running_max(numbers: Column) -> Column:
+    return _running(numbers, F.array_max, F.greatest)
+
+
+def running_min(numbers: Column) -> Column:
+    return _running(numbers, F.array_min, F.least)
 
 
 def match_spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, kind, end, text>> of the leftmost non-overlapping matches; code points, end exclusive.
 
     The text between matches gives the positions: a match ends after all gaps and matches
-    up to it. Running sums go over blocks, so many matches cost little more than linearly.
+    up to it.
     """
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
     def placed(p: Column) -> Column:
-        steps = F.transform(p["hits"], lambda h, i: F.length(h) + F.length(F.get(p["gaps"], i)))
-        blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda b: _total(F.slice(s, b * _BLOCK + 1, _BLOCK)))
-        return let(F.struct(steps.alias("s")), lambda a: let(F.struct(blocks(a["s"]).alias("b")), lambda b: F.transform(p["hits"], lambda h, i: span(a["s"], b["b"], h, i))))
-
-    def span(steps: Column, blocks: Column, hit: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        end = _total(F.slice(blocks, F.lit(1), block)) + _total(F.slice(steps, block * _BLOCK + 1, i % _BLOCK + 1))
-        return let(end, lambda e: F.struct((e - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), hit.alias("text")))
+        ends = running_sum(F.transform(p["hits"], lambda h, i: F.length(h) + F.length(F.get(p["gaps"], i))))
+        span = lambda h, e: F.struct((e - F.length(h)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), h.alias("text"))
+        return F.zip_with(p["hits"], ends, span)
 
     return let(parts, lambda p: F.when(F.size(p["hits"]) > 0, placed(p)).otherwise(no_spans()))
 
@@ -60,24 +83,44 @@ def rank(kind: Column, order: list[str]) -> Column:
     return F.array_position(F.array(*map(F.lit, order)), kind)
 
 
-def overlaps(a: Column, b: Column, reach: int = 0) -> Column:
-    """Whether two spans come within ``reach`` code points of each other."""
-    return (a["start"] < b["end"] + reach) & (b["start"] < a["end"] + reach)
+def near_class(spans: Column, member: Callable[[Column], Column], reach: int = 0) -> Column:
+    """For ``spans`` sorted by start: which of them come within ``reach`` code points of a span of the class ``member``.
+
+    One sweep each way: of the members that start no later the greatest end decides, of those
+    that start no earlier the least start. A member is near itself.
+    """
+    far = 1 << 30
+    ends = running_max(F.transform(spans, lambda s: F.when(member(s), s["end"]).otherwise(-far)))
+    starts = F.reverse(running_min(F.reverse(F.transform(spans, lambda s: F.when(member(s), s["start"]).otherwise(far)))))
+    close = lambda s, i, e: (F.get(e["before"], i) > s["start"] - reach) | (F.get(e["after"], i) < s["end"] + reach)
+    return let(F.struct(ends.alias("before"), starts.alias("after")), lambda e: F.transform(spans, lambda s, i: close(s, i, e)))
+
+
+def keep_flagged(spans: Column, flags: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The spans for which ``keep(span, flag)`` holds."""
+    return let(flags, lambda f: F.filter(spans, lambda s, i: keep(s, F.get(f, i))))
+
+
+def pieces_of(text: Column) -> Column:
+    """``text`` cut every ``_PIECE`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def taken(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of a text cut by pieces_of; costs their length and two pieces, wherever they stand."""
+    first = F.floor(a / _PIECE).cast("int")
+    some = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / _PIECE).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(some, a % _PIECE + 1, b - a)).otherwise("")
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with each span, or run of overlapping spans, replaced by ``mark``."""
     bare = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    kind = "array<struct<start:int,end:int>>"
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), grown.cast(kind)).otherwise(F.concat(done, F.array(s)).cast(kind))
+    cut = lambda s: F.struct(s.alias("s"), running_max(F.transform(s, lambda x: x["end"])).alias("done"), pieces_of(text).alias("pieces"))
 
-    def pieces(m: Column) -> Column:
-        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
-        kept = F.transform(m, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark)))
-        return F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
+    def rest(c: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(c["done"], i - 1), F.lit(0))
+        kept = F.transform(c["s"], lambda s, i: F.when(s["start"] >= before(i), F.concat(taken(c["pieces"], before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), taken(c["pieces"], F.element_at(c["done"], -1), F.length(text)))
 
-    return F.when(F.size(spans) > 0, let(F.aggregate(bare, F.array().cast(kind), merge), pieces)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(bare, lambda s: let(cut(s), rest))).otherwise(text)
