@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hamming import neighbour_counts
+from tessera.operators.joins import counted_join
 from tessera.session import durable
 
 BITS = 256
@@ -61,14 +62,15 @@ def in_descending_order(docs: DataFrame, id_col: str, text_col: str, partitions:
         placed = lambda df: bucket.transform(df.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(0.0)))).withColumn("place", F.lit(len(cuts)) - F.col("bucket").cast("int"))
     else:
         placed = lambda df: df.withColumn("place", F.lit(0))
-    firsts = dict(placed(rows.select("id").filter("id is not null")).groupBy("place").agg(F.max("id")).collect())
-    order = sorted(firsts)
-    ahead = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
-    home = F.struct(F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(len(splits) - 1)).cast("int")).otherwise(F.col("place")).alias("place"), F.lit(False).alias("guest"))
-    to = F.create_map(*(F.lit(x) for pair in ahead.items() for x in pair)) if ahead else None
-    guest = F.struct(to[F.col("id")].alias("place"), F.lit(True).alias("guest")) if ahead else None
-    places = F.when(F.col("id").isin(list(ahead)), F.array(home, guest)).otherwise(F.array(home)) if ahead else F.array(home)
-    dealt = placed(rows).select("id", "text", F.inline(places)).repartitionById(len(splits) - 1, F.col("place"))
+    spark, home = rows.sparkSession, F.pmod(F.xxhash64("text"), F.lit(len(splits) - 1)).cast("int")
+    firsts = sorted(placed(rows.select("id").filter("id is not null")).groupBy("place").agg(F.max("id").alias("id")).collect())
+    # one row a place: the id that its predecessor needs as well
+    ahead = [(b.id, a.place) for a, b in zip(firsts, firsts[1:])] + ([(firsts[0].id, firsts[-1].place)] if firsts else [])
+    ahead = spark.createDataFrame(ahead, "id bigint, to int")
+    known = placed(rows).join(F.broadcast(ahead), "id", "left")
+    own = F.struct(F.when(F.col("id").isNull(), home).otherwise(F.col("place")).alias("place"), F.lit(False).alias("guest"))
+    places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("place"), F.lit(True).alias("guest"))))
+    dealt = known.select("id", "text", F.inline(places)).repartitionById(len(splits) - 1, F.col("place"))
     return dealt.select("place", "guest", "id", "text").sortWithinPartitions("place", "guest", F.col("id").desc_nulls_last(), "text")
 
 
@@ -115,7 +117,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return in_descending_order(docs, id_col, text_col, partitions).mapInArrow(run, schema)
 
 
-def count_near(prints: DataFrame, radius: int = 7, column: str = "fingerprint") -> DataFrame:
+def count_near(prints: DataFrame, radius: int = 11, column: str = "fingerprint") -> DataFrame:
     """Add n_near: how many other rows have a fingerprint within ``radius`` bits (exact, by permuted block tables).
 
     ``prints`` must be a stored table. Equal fingerprints are counted as a class, not paired.
@@ -123,12 +125,12 @@ def count_near(prints: DataFrame, radius: int = 7, column: str = "fingerprint")
     halves = [F.conv(F.substring(column, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(BITS // 64)]
     words = [f"w{i}" for i in range(BITS // 64)]
     split = prints.select("*", *halves)
-    classes = split.groupBy(*words).agg(F.count("*").alias("n"))
+    classes = durable(split.groupBy(*words).agg(F.count("*").alias("n")), "print-classes")
     near = neighbour_counts(classes, words, "n", radius, radius + 1)
-    totals = classes.join(near, words, "left").select(*words, (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
-    return split.join(totals, words).drop(*words)
+    totals = classes.join(near, words, "left").select(*words, "n", (F.col("n") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_near"))
+    return counted_join(split, durable(totals, "near-counts"), words, "n").drop(*words, "n")
 
 
-def fingerprint_table(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_table(docs: DataFrame, radius: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprint_documents with n_near."""
     return count_near(durable(fingerprint_documents(docs, id_col, text_col), "prints"), radius)

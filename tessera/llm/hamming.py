@@ -1,24 +1,29 @@
 """Exact search for fingerprints within a Hamming radius.
 
-Fingerprints are one or two bigint columns. If two differ in at most r bits, then of B > r
+Fingerprints are one or more bigint columns. If two differ in at most r bits, then of B > r
 bit blocks at least B - r agree, so each choice of B - r blocks makes a table keyed by those
 bits (the other bits masked out) and every close pair shares a key in some table. Inside a
 key's shard, vantage-point trees split the fingerprints by distance; branches are pruned by
 the triangle inequality and only strips within r of a boundary are searched across it. A
 shard with more than ``hot`` fingerprints is first dealt to several tasks by shells of
-distance around its own vantage point, boundary strips going to both neighbours.
+distance around two vantage points of its own, boundary strips going to both neighbours.
+
+Only distinct fingerprints take part, so copies cannot make a shard dense: those within r
+bits of one point that also share a key differ in the other bits only, at most
+sum(C(bits - key bits, i)) for i up to r of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many fingerprints are compared directly at a leaf of a vantage-point tree.
-LEAF = 1024
+LEAF = 64
 
 
 def block_masks(bits: int, radius: int, blocks: int) -> list[list[int]]:
@@ -34,20 +39,27 @@ def block_masks(bits: int, radius: int, blocks: int) -> list[list[int]]:
 
 
 def shards(fps: DataFrame, words: list[str], masks: list[list[int]], radius: int, hot: int) -> DataFrame:
-    """Each fingerprint in its shard of every table: columns table, key of each word, shell, guest and those of ``fps``."""
-    keys = [f"key{i}" for i in range(len(words))]
-    tables = F.array(*(F.struct(F.lit(t).alias("table"), *(F.col(c).bitwiseAND(F.lit(m)).alias(k) for c, m, k in zip(words, mask, keys))) for t, mask in enumerate(masks)))
+    """Each fingerprint in its shard of every table: columns table, key, cell (of two shells), guest and those of ``fps``.
+
+    The key is a hash of the agreeing bits: a collision only puts more fingerprints together.
+    Bit i of ``guest`` says that the row is a guest in the i-th shell; a pair belongs to the
+    one cell where no such bit is set in both.
+    """
+    tables = F.array(*(F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *(F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(words, mask) if m)).alias("key")) for t, mask in enumerate(masks)))
     own = fps.select(*fps.columns, F.inline(tables))
-    group = ["table", *keys]
-    pivot = F.min(F.struct(*words)).alias("pivot")
-    large = own.groupBy(*group).agg(F.count("*").alias("n"), pivot).filter(F.col("n") > hot).drop("n")
-    joined = own.join(large, group, "left")
-    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"pivot.{c}"))) for c in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"pivot.{words[0]}"))))
-    near, far = F.floor(distance / (radius + 1)), F.floor((distance + radius) / (radius + 1))
-    home = F.struct(F.coalesce(near, F.lit(0)).alias("shell"), F.lit(False).alias("guest"))
-    away = F.struct(far.alias("shell"), F.lit(True).alias("guest"))
-    places = F.when(F.col("pivot").isNull() | (near == far), F.array(home)).otherwise(F.array(home, away))
-    return joined.select(*fps.columns, *group, F.inline(places))
+    pivots = [f(F.struct(*words)).alias(n) for f, n in ((F.min, "p0"), (F.max, "p1"))]
+    large = own.groupBy("table", "key").agg(F.count("*").alias("many"), *pivots).filter(F.col("many") > hot).drop("many")
+    joined = own.join(large, ["table", "key"], "left")
+
+    def shells(pivot: str, bit: int) -> Column:
+        distance = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{pivot}.{c}"))) for c in words))
+        near, far = F.floor(distance / (radius + 1)).cast("int"), F.floor((distance + radius) / (radius + 1)).cast("int")
+        home, away = (F.struct(s.alias("shell"), F.lit(g).alias("guest")) for s, g in ((near, 0), (far, bit)))
+        return F.when(near == far, F.array(home)).otherwise(F.array(home, away))
+
+    cells = F.flatten(F.transform(shells("p0", 1), lambda x: F.transform(shells("p1", 2), lambda y: F.struct((x["shell"] * 1000 + y["shell"]).alias("cell"), (x["guest"] + y["guest"]).alias("guest")))))
+    alone = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("guest")))
+    return joined.select(*fps.columns, "table", "key", F.inline(F.when(F.col("p0").isNull(), alone).otherwise(cells)))
 
 
 def distances(x, at):
@@ -153,8 +165,8 @@ def tree_cross(x, radius: int, a, b=None) -> Iterator[tuple]:
 
 
 def by_shard(sharded: DataFrame, words: list[str], extra: list[str], work: Callable, schema: str) -> DataFrame:
-    """Run ``work(table, x, guest, extra arrays)`` on every shard; it returns a dict of arrays or None."""
-    keys = ["table", *(f"key{i}" for i in range(len(words))), "shell"]
+    """Run ``work(table, x, guest, extra arrays)`` on every cell of every shard; it returns a dict of arrays or None."""
+    keys = ["table", "key", "cell"]
     columns = [*keys, "guest", *words, *extra]
 
     def run(batches: Iterator) -> Iterator:
@@ -226,9 +238,9 @@ def neighbour_counts(fps: DataFrame, words: list[str], weight: str, radius: int,
         import numpy as np
 
         total = np.zeros(len(x), np.int64)
-        w, earlier = extra[0], [np.array(m, dtype=np.int64).view(np.uint64) for m in masks[:table]]
+        w, (*earlier, own) = extra[0], [np.array(m, dtype=np.int64).view(np.uint64) for m in masks[: table + 1]]
         for i, j in tree_pairs(x, radius, np.arange(len(x))):
-            due = ~(guest[i] & guest[j])
+            due = ((guest[i] & guest[j]) == 0) & (((x[i] ^ x[j]) & own) == 0).all(axis=1)
             for m in earlier:  # a pair counts in the first table where it shares a key
                 due &= (((x[i] ^ x[j]) & m) != 0).any(axis=1)
             np.add.at(total, i[due], w[j[due]])

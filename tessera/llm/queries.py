@@ -55,7 +55,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_table(read_table(spark, sf_dir, "documents"), radius=7)
+    return fingerprints.fingerprint_table(read_table(spark, sf_dir, "documents"), radius=11)
 
 
 @query()
@@ -65,7 +65,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.pii_report(docs, pii.train_model(docs))
 
 
 @query()

@@ -3,6 +3,8 @@ import re
 
 import xxhash
 
+import pytest
+
 from tessera.llm import fingerprints as prints
 from tessera.llm.simhash_dedup import near_duplicates, shingle_simhash
 
@@ -68,8 +70,9 @@ def test_fingerprint_documents(spark, sf_dir):
     assert prints.fingerprint_documents(both.filter("doc_id is null")).count() == 2
 
 
-def test_near_counts(spark, sf_dir):
+@pytest.mark.parametrize("radius", [7, 11])
+def test_near_counts(spark, sf_dir, radius):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = prints.fingerprint_table(docs).collect()
+    got = prints.fingerprint_table(docs, radius).collect()
     fps = [int(r.fingerprint, 16) for r in got]
-    assert [r.n_near for r in got] == [sum((a ^ b).bit_count() <= 7 for b in fps) - 1 for a in fps]
+    assert [r.n_near for r in got] == [sum((a ^ b).bit_count() <= radius for b in fps) - 1 for a in fps]
