@@ -13,22 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that alone name a licence family.
-PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-#: Template markup by label.
-TEMPLATES = {
-    "all-rights-reserved": "<<opt>>copyright <<var 12>><</opt>> all rights reserved",
-    "apache-2.0": "licensed under the apache license version 2 0 <<opt>>the license you may not use this file except in compliance with the license<</opt>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var 8>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "cc-by": "<<opt>>this work is<</opt>> licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons attribution<</opt>> cc by <<opt>>sa<</opt>> <<opt>>nd<</opt>> <<var 1>> 0",
-    "cc-by-nc": "<<opt>>this work is<</opt>> licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc <<opt>>sa<</opt>> <<opt>>nd<</opt>> <<var 1>> 0",
-    "gpl-3.0": "licensed under the <<opt>>terms of the<</opt>> gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license <<opt>>either<</opt>> version 3",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var 1>> of the license",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit-notice": "<<opt>>this <<var 3>> is<</opt>> <<opt>>released<</opt>> <<opt>>licensed<</opt>> <<opt>>distributed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-}
+from tessera.llm.license_texts import PHRASES, TEMPLATES
 
 _MARKUP = re.compile(r"<<opt>>|<</opt>>|<<var \d+>>|[^\s<>]+")
 #: Bytes of words are digits, a-z and all above 0x7F; A-Z fold to a-z, the rest separates.
@@ -123,9 +108,10 @@ class LicenseScanner:
         line = b" " + b" ".join(words) + b" "
         starts, labels, found = [], set(), {}
         for phrase, label in self.phrases:
-            at = line.find(phrase)
-            while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+            at, done, before = line.find(phrase), 0, 0
+            while at >= 0:  # words are counted on from the last place, so many places stay linear
+                before, done = before + line.count(b" ", done, at), at
+                starts.append(before)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         for label, automaton, needed in self.templates:
