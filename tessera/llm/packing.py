@@ -90,6 +90,18 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[tuple[int,
     return plan
 
 
+def plan_buckets(plan: list[tuple[int, int, int, int, int]]) -> Iterator[tuple]:
+    """Plan rows with the level (power of two) of their width and each bucket of that width that they touch, two at most.
+
+    A length's rows don't overlap, so a bucket holds three of them at most: a rank finds its
+    row by one equality per level that its length uses.
+    """
+    for length, first, last, bin_from, offset in plan:
+        level = (last - first).bit_length()
+        for bucket in range(first >> level, (last >> level) + 1):
+            yield length, level, bucket, first, last, bin_from, offset
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of each document: its ids and then ``end_id``, cut every ``size`` ids.
 
@@ -140,12 +152,18 @@ def pack_pieces(pieces: DataFrame, size: int = 4096, broadcast_rows: int = 500_0
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    plan = best_fit_decreasing(histogram, size)
-    runs = spark.createDataFrame(plan, "length bigint, rank_from bigint, rank_to bigint, bin_from bigint, offset bigint")
+    plan = list(plan_buckets(best_fit_decreasing(histogram, size)))
+    runs = spark.createDataFrame(plan, "length bigint, level int, bucket bigint, rank_from bigint, rank_to bigint, bin_from bigint, offset bigint")
     if len(plan) <= broadcast_rows:
         runs = F.broadcast(runs)
+    used = {}
+    for length, level, *_ in plan:
+        used.setdefault(length, set()).add(level)
+    # at most a row per length, so at most ``size`` rows
+    levels = spark.createDataFrame([(n, sorted(own)) for n, own in used.items()], "length bigint, levels array<int>")
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("part_rank"))
-    placed = ranked.join(runs, "length").filter(F.col("rank").between(F.col("rank_from"), F.col("rank_to")))
+    probes = ranked.join(F.broadcast(levels), "length").withColumn("level", F.explode("levels")).withColumn("bucket", F.expr("shiftright(rank, level)"))
+    placed = probes.join(runs, ["length", "level", "bucket"]).filter(F.col("rank").between(F.col("rank_from"), F.col("rank_to")))
     kept = [c for c in pieces.columns if c not in ("part", "part_rank")]
     return placed.select(*kept, (F.col("bin_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
 
