@@ -141,15 +141,27 @@ def _features(rows: DataFrame, schema: str, kept: list[str], score=None) -> Data
     return rows.mapInArrow(run, schema)
 
 
+def lowest_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """The ``n`` distinct ids of the smallest hashes.
+
+    The (approximate) number of ids gives a bound of the hash below which some more than
+    ``n`` lie, whatever the table's size; only those are sorted. Hashes spread evenly, so
+    fewer than ``n`` are below it only where there are fewer ids.
+    """
+    mixed = F.xxhash64("id", F.lit("fit"))
+    many = ids.agg(F.approx_count_distinct("id", 0.02)).first()[0]
+    bound = int(min(1.0, 1.1 * (n + 8 * n**0.5 + 64) / max(1, many)) * 2**64) - 2**63 - 1
+    return ids.filter(mixed <= F.lit(bound)).distinct().orderBy(mixed, "id").limit(n)
+
+
 def train_model(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel | None:
     """Fit on at most ``positives`` documents with quality 1 and ``unlabelled`` documents, none of them held out.
 
     Both are those of the smallest hash of their id. Without either there is no model.
     """
-    mixed = F.xxhash64("id", F.lit("fit"))
-    ids = lambda rows, n: rows.filter(F.col("id").isNotNull() & ~is_held_out(F.col("id"))).orderBy(mixed, "id").limit(n)
-    trusted = ids(labels.filter("quality = 1").select(F.col(id_col).alias("id")).distinct(), positives).withColumn("positive", F.lit(True))
-    web = ids(docs.select(F.col(id_col).alias("id")), unlabelled).withColumn("positive", F.lit(False))
+    fitting = lambda rows: rows.filter(F.col("id").isNotNull() & ~is_held_out(F.col("id")))
+    trusted = lowest_hashes(fitting(labels.filter("quality = 1").select(F.col(id_col).alias("id"))), positives).withColumn("positive", F.lit(True))
+    web = lowest_hashes(fitting(docs.select(F.col(id_col).alias("id"))), unlabelled).withColumn("positive", F.lit(False))
     wanted = F.broadcast(trusted.union(web).distinct())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("positive", "text")
     found = _features(rows, "positive boolean, value array<double>", ["positive"]).collect()
