@@ -3,9 +3,14 @@
 Prefix filter: if all sets are sorted by one order of the shingles, two sets of n and m
 elements that are similar enough share one of their first n - ceil(threshold * n) + 1
 elements. Any order finds all pairs; the one used puts shingles that are frequent in a
-sample of the texts last, so few unrelated texts meet. Each candidate pair is decided on
-the whole sets. Only components are needed, so a shingle's texts are first held against
-one of them; all pairs are made only of texts that these links leave in different components.
+sample of the texts last, so few unrelated texts meet. Of the shared elements the first
+one stands at places i and j with nothing in common before, so the overlap is at most
+min(n - i, m - j): a pair that is similar passes this bound there, and unrelated texts with
+a common passage don't. Each candidate pair is decided on the whole sets.
+
+Only components are needed. So a shingle's texts are first held against one of them, in
+some rounds with another one each; all pairs are made only of texts that are in different
+components after that.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
+from tessera.operators.joins import counted_join
 from tessera.session import durable
 
 _BATCH = 512
@@ -90,51 +96,68 @@ def _frequent(texts: DataFrame, words: int, sample: int, most: int):
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar."""
+    """Those of ``pairs`` (a, b; a stored table) whose whole sets are similar."""
     keys = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")
     hint = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-    sets = durable(_sets(texts.join(hint, "key", "left_semi"), words).dropDuplicates(["key"]), "shingle-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = durable(_sets(texts.join(hint, "key", "left_semi"), words).dropDuplicates(["key"]).select("key", "shingles"), "shingle-sets")
+
+    def with_sets(rows: DataFrame, end: str, name: str) -> DataFrame:
+        ends = pairs.groupBy(end).agg(F.count("*").alias("times")).join(sets.withColumnsRenamed({"key": end, "shingles": name}), end)
+        return counted_join(rows, durable(ends, "ends"), [end], "times", 2000).drop("times")
+
+    both = with_sets(durable(with_sets(pairs, "a", "x"), "half"), "b", "y")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float = 0.8, words: int = 5, sample: int = 40_000, frequent: int = 1_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(node, component) of the graph of ``edges`` (src, dst) and of all similar texts.
+def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float = 0.8, words: int = 5, sample: int = 40_000, frequent: int = 1_000_000, rounds: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(node, component) of every node, in the graph of ``edges`` (src, dst) and of all similar texts.
 
-    ``texts`` has (key, text), copies included; ``nodes`` the node of each key. Texts
-    without words are similar to none. ``sample`` and ``frequent`` only bound the cost.
+    ``texts`` has (key, text), copies included; ``nodes`` (stored) the node of each key. Texts
+    without words are similar to none. ``sample``, ``frequent`` and ``rounds`` only bound the cost.
     """
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, sample, frequent))
-    prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]).join(nodes, "key"), "prefixes")
-    placed = prefixes.select("key", "n", "node", F.posexplode("shingles").alias("at", "h"))
-
-    # overlap that sets sharing an element at these places can have at most
-    def may(x: str, y: str) -> Column:
-        c = lambda t, name: F.col(f"{t}.{name}")
-        most = F.least(c(x, "at"), c(y, "at")) + 1 + F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) - 1
-        return most >= similarity / (1 + similarity) * (c(x, "n") + c(y, "n")) - 1e-6
-
-    pair = lambda x, y: (F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b"))
-    first = F.min(F.struct("n", "key", "node", "at")).alias("p")
-    pivots = placed.groupBy("h").agg(first, F.count("*").alias("many")).filter("many > 1").select("h", "p.*")
-    stars = placed.alias("x").join(pivots.alias("y"), "h").filter((F.col("x.node") != F.col("y.node")) & may("x", "y"))
-    stars = durable(stars.select(*pair("x", "y")).distinct(), "star-pairs")
-
-    def node_edges(pairs: DataFrame, named: DataFrame, name: str) -> DataFrame:
-        ends = named.select("key", F.col(name).alias("end"))
-        return pairs.join(ends.withColumnsRenamed({"key": "a", "end": "src"}), "a").join(ends.withColumnsRenamed({"key": "b", "end": "dst"}), "b").select("src", "dst")
-
-    linked = _similar(stars, texts, words, similarity, broadcast_rows)
-    parts = durable(connected_components(edges.select("src", "dst").union(node_edges(linked, nodes, "node"))), "parts")
-    named = durable(prefixes.join(parts, "node", "left").select("key", "n", "shingles", F.coalesce("component", "node").alias("part")), "named")
-    placed = named.select("key", "n", "part", F.posexplode("shingles").alias("at", "h"))
-    mixed = placed.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h")
-    placed = durable(placed.join(mixed, "h"), "mixed")
-    across = placed.alias("x").join(placed.alias("y"), "h").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & may("x", "y"))
-    across = durable(across.select(*pair("x", "y")).distinct().join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = node_edges(_similar(across, texts, words, similarity, broadcast_rows), named, "part")
-    wider = durable(connected_components(more), "wider").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    # a node without edges so far is its own component
-    alone = wider.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
-    return parts.join(wider, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(alone)
+    prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]), "prefixes")
+    placed = prefixes.select("key", "n", F.posexplode("shingles").alias("at", "h"))
+    many = durable(placed.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"), "shared-shingles")
+    shared = durable(counted_join(placed, many, ["h"], "many").select("h", "many", "key", "n", "at"), "shared")
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    parts = durable(connected_components(edges.select("src", "dst")), "parts")
+    labels = nodes.join(few(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    labels = durable(labels, "labels")
+
+    def passes(x: str, y: str) -> Column:
+        c = lambda t, name: F.col(f"{t}.{name}") if t else F.col(name)
+        least = similarity / (1 + similarity) * (c(x, "n") + c(y, "n")) - 1e-6
+        return (c(x, "n") - c(x, "at") >= least) & (c(y, "n") - c(y, "at") >= least)
+
+    def mixed() -> tuple[DataFrame, DataFrame]:
+        """Shared shingles whose texts are in several components: their texts with their component, and per shingle the number of texts."""
+        named = durable(shared.join(labels.select("key", "part"), "key"), "named")
+        groups = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
+        return durable(counted_join(named.drop("many"), groups, ["h"], "many"), "mixed-texts"), groups
+
+    def merge(pairs: DataFrame) -> None:
+        """Verify ``pairs`` (a, b and their components) and merge the components that they link."""
+        nonlocal labels
+        pairs = durable(pairs.distinct(), "pairs")
+        found = _similar(pairs.select("a", "b").distinct(), texts, words, similarity, broadcast_rows)
+        wider = durable(connected_components(found.join(pairs, ["a", "b"]).select("src", "dst")), "wider")
+        labels = durable(labels.join(few(wider.select(F.col("node").alias("part"), "component")), "part", "left").select("key", "node", F.coalesce("component", "part").alias("part")), "labels")
+
+    row = lambda x, y: (F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b"), F.when(x["key"] < y["key"], x["part"]).otherwise(y["part"]).alias("src"), F.when(x["key"] < y["key"], y["part"]).otherwise(x["part"]).alias("dst"))
+    for turn in range(rounds):
+        rows, groups = mixed()
+        # the shortest text is in reach of most others; later rounds take another one
+        first = F.struct((F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))).alias("rank"), "key", "n", "at", "part")
+        pivots = durable(rows.groupBy("h").agg(F.min(first).alias("p"), F.count("*").alias("many")), "pivots")
+        met = counted_join(rows.drop("many"), pivots, ["h"], "many").filter((F.col("part") != F.col("p.part")) & passes("", "p"))
+        merge(met.select(*row({c: F.col(c) for c in ("key", "part")}, {c: F.col(f"p.{c}") for c in ("key", "part")})))
+    rows, _ = mixed()
+    sized = rows.select("h", "key", "n", "at", "part", F.floor(F.log("n") / -math.log(similarity)).alias("class"))
+    # similar sets differ in size by the threshold at most: they are in one class or in neighbours
+    other = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
+    met = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter((F.col("x.part") != F.col("y.part")) & passes("x", "y"))
+    merge(met.select(*row(*({c: F.col(f"{t}.{c}") for c in ("key", "part")} for t in "xy"))))
+    return labels.groupBy("node").agg(F.min("part").alias("component"))

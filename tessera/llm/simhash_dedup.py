@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.hamming import linking_edges
 from tessera.llm.shingle_links import link_similar
 from tessera.operators.graph import connected_components
+from tessera.operators.joins import counted_join
 from tessera.session import durable
 
 _BATCH = 512
@@ -69,9 +70,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     rows stay repeated.
     """
     fps = durable(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-    many = fps.count() > 1 << 24
-    edges = linking_edges(classes, "fp", 64, radius, radius + (2 if many else 1))
+    classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "classes")
+    edges = linking_edges(classes, "fp", 64, radius, radius + 2)
     if similarity is None:
         components = connected_components(edges)
     else:
@@ -81,8 +81,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     linked = classes.join(components.withColumnRenamed("node", "fp"), "fp")
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = linked.join(lows, "component").select("fp", "component_id")
-    names = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n")
+    named = counted_join(fps, durable(names, "names"), ["fp"], "n")
+    return named.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -91,17 +92,21 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, broadcast_rows: i
     Links are those of fingerprints within ``radius`` bits and those of texts of that
     ``similarity`` (Jaccard, 5-word shingles), however far their fingerprints are apart.
 
-    Of repeated rows of a kept id one stays. Documents without an id cannot be named in a
-    group's outcome and stay. The dropped ids are broadcast up to ``broadcast_rows``.
+    Of repeated rows of a kept id the one of the smallest text (then of the smallest other
+    columns) stays; an id that stands for several texts goes if one of them is dropped.
+    Documents without an id cannot be named in a group's outcome and stay. A null text is an
+    empty one; empty texts are copies of each other. The dropped ids are broadcast up to
+    ``broadcast_rows`` and joined by shuffle beyond that.
     """
     groups = durable(near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, radius, id_col, text_col, similarity), "groups")
     first = groups.filter(F.col(id_col) == F.col("component_id"))
     gone = durable(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
     repeated = durable(first.groupBy(id_col).count().filter("count > 1").select(id_col), "repeated")
     hint = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    # of an id that stands for several texts all go if one of them is dropped
     kept = docs.join(hint(gone), id_col, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
     single = kept.join(hint(repeated), id_col, "left_anti").select(*docs.columns)
-    return single.union(kept.join(hint(repeated), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    ordered = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    least = kept.join(hint(repeated), id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col, *ordered)).alias("row"))
+    return single.union(least.select("row.*"))
