@@ -36,8 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of durable tables, by session.
+_TABLES: dict[int, list[str]] = {}
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: it is computed once and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back: it is computed once and survives lost executors.
+
+    Results that read such a table need it until they are written; clear_durable() removes all of a session.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.setdefault(id(spark), []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_durable(spark: SparkSession) -> int:
+    """Remove the session's durable tables once no result reads them any more; returns how many there were."""
+    paths = _TABLES.pop(id(spark), [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

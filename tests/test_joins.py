@@ -51,3 +51,21 @@ def test_no_nested_loops(spark, sf_dir):
     for name in ("asof_last_view", "asof_last_view_sliced", "signups_after_errors", "price_bands"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_wide_ranges(spark):
+    rows = [(0.5, 2e9), (-3.0, 1.0), (7.0, 7.5), (7.0, 7.0), (5.0, 1.0), (None, 2.0), (100.0, 164.0)]
+    p = spark.createDataFrame([(float(x),) for x in (-3, 0, 0.5, 1, 7, 7.5, 100, 163.9, 164, 1e9, 2e9)] + [(None,)], "x double")
+    r = spark.createDataFrame(rows, "low double, high double")
+    got = sorted((a.x, a.low) for a in joins.range_join(p, r, "x", "low", "high", 0.25).collect())
+    assert got == sorted((x.x, lo) for x in p.collect() if x.x is not None for lo, hi in rows if lo is not None and lo <= x.x < hi)
+    assert joins.range_join(p, r.limit(0), "x", "low", "high", 1.0).count() == 0
+
+
+def test_counted_join(spark):
+    large = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k int, i int")
+    small = spark.createDataFrame([(1, "a", 500), (2, "b", 3), (4, "d", 0)], "k int, name string, n bigint")
+    for share in (100_000, 10, 1):
+        got = sorted((r.k, r.i, r.name) for r in joins.counted_join(large, small, ["k"], "n", share).collect())
+        assert got == sorted((r.k, r.i, r.name) for r in large.join(small, "k").collect())
+    assert joins.counted_join(large, small.limit(0), ["k"], "n").count() == 0

@@ -83,3 +83,23 @@ def test_own_functions(spark):
     extra.register_table_function(spark, "squares", Squares, "i int, sq int")
     assert spark.sql("SELECT sum(sq) FROM squares(4)").first()[0] == 14
     assert extra.map_batches(spark.range(10), lambda batches: (b for b in batches), "id bigint").count() == 10
+
+
+def test_sketches_are_near_the_exact_values(spark, sf_dir):
+    lines = read_table(spark, sf_dir, "lineitem")
+    got = lines.agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.expr("hll_sketch_estimate(hll_sketch_agg(l_partkey))").alias("h"), F.expr("theta_sketch_estimate(theta_sketch_agg(l_orderkey))").alias("t"),
+        F.approx_percentile("l_extendedprice", 0.5, 10_000).alias("p"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5)").alias("k"), F.histogram_numeric("l_quantity", F.lit(5)).alias("hist"),
+    ).first()
+    exact = lines.agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"), F.median("l_extendedprice").alias("m"), F.count("*").alias("n")).first()
+    assert all(abs(x - exact.parts) <= 0.1 * exact.parts for x in (got.a, got.h)) and abs(got.t - exact.orders) <= 0.1 * exact.orders
+    assert all(abs(x - exact.m) <= 0.05 * exact.m for x in (got.p, got.k))
+    assert abs(sum(b.y for b in got.hist) - exact.n) < 1e-6
+
+
+def test_sampling(spark, sf_dir):
+    lines = read_table(spark, sf_dir, "lineitem")
+    n = lines.count()
+    assert abs(lines.sample(fraction=0.2, seed=1).count() - 0.2 * n) < 0.05 * n
+    by = {r.l_returnflag: r["count"] for r in lines.sampleBy("l_returnflag", {"A": 1.0, "N": 0.0, "R": 0.5}, 1).groupBy("l_returnflag").count().collect()}
+    assert by["A"] == lines.filter("l_returnflag = 'A'").count() and "N" not in by

@@ -2,6 +2,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.streaming import events as ev
 
@@ -68,3 +69,12 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = ev.with_event_time(ev.stream_files(spark, f"{tmp_path}/in", spark.createDataFrame([], SCHEMA).schema, 1))
     got = ev.run_to_table(ev.tumbling(stream, "1 hour", []), "update")
     assert {(r.start, r.n) for r in got.collect() if r.start == T0} == {(T0, 1)}
+
+
+def test_limit_and_approximate_distinct(source):
+    stream, batch = source
+    assert ev.run_to_table(stream.limit(30)).count() == 30
+    about = lambda df: df.groupBy("event_type").agg(F.approx_count_distinct("event_id", 0.02).alias("n"))
+    got = {r.event_type: r.n for r in ev.run_to_table(about(stream), "complete").collect()}
+    exact = {r.event_type: r.n for r in batch.groupBy("event_type").agg(F.count_distinct("event_id").alias("n")).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) <= 0.1 * exact[k] for k in exact)
