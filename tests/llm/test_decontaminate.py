@@ -1,7 +1,10 @@
+import random
 import re
 from collections import Counter
 
-from tessera.llm.decontaminate import contaminated, without_contamination
+from pyspark.sql import functions as F
+
+from tessera.llm.decontaminate import contaminated, items_near, simhash, without_contamination
 
 
 def words_of(text):
@@ -70,3 +73,40 @@ def test_items_that_share_most_of_their_wording(spark):
     got = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     assert sorted((str(r.doc_id), r.item_id, r.similarity, r.start_word) for r in got) == brute(docs, bench)
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 10) for i in range(30)}
+
+
+def test_block_tables_find_all_within_the_radius(spark):
+    rng = random.Random(1)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    items = [(i, 5, i % 2, rng.getrandbits(64)) for i in range(60)]
+    windows = []
+    for k in range(200):
+        fp = rng.choice(items)[3]
+        for bit in rng.sample(range(64), rng.randint(0, 26)):
+            fp ^= 1 << bit
+        windows.append((k, 5, k % 2, fp))
+    got = items_near(spark.createDataFrame([(*w[:3], signed(w[3])) for w in windows], "k int, width int, m int, fp bigint"), spark.createDataFrame([(*i[:3], signed(i[3])) for i in items], "item_id int, width int, m int, fp bigint"), 20)
+    want = sorted((w[0], i[0]) for w in windows for i in items if w[2] == i[2] and (w[3] ^ i[3]).bit_count() <= 20)
+    assert sorted((r.k, r.item_id) for r in got.collect()) == want
+
+
+def test_recall_of_the_radius(spark):
+    """Windows of weighted similarity 0.8 to 0.85, shingles of unequal weights: the share within 20 bits."""
+    rng, rows = random.Random(9), []
+    for k in range(1500):
+        m = rng.randint(12, 60)
+        weights = [1 / rng.choice([1, 1, 1, 2, 5, 30]) for _ in range(m)]
+        total, order = sum(weights), rng.sample(range(m), m)
+        left, gone = 0.2 * total, set()
+        for i in order:  # leave out shingles as long as 0.8 of the weight stays
+            if weights[i] <= left:
+                left -= weights[i]
+                gone.add(i)
+        for i in range(m):
+            h = rng.getrandbits(64) - 2**63
+            rows.append((k, 0, h, 1, weights[i]))
+            if i not in gone:
+                rows.append((k, 1, h, 1, weights[i]))
+    prints = simhash(spark.createDataFrame(rows, "k int, side int, h bigint, n bigint, weight double"), ["k", "side"])
+    far = prints.groupBy("k").agg(F.bit_xor("fp").alias("x")).filter(F.bit_count("x") > 20).count()
+    assert far <= 3

@@ -1,8 +1,11 @@
+import random
 import re
+import time
 
 import pytest
 
-from tessera.llm.licenses import PHRASES, TemplateAutomaton, scan_licenses
+from tessera.llm.license_texts import TEMPLATES
+from tessera.llm.licenses import PHRASES, LicenseScanner, TemplateAutomaton, scan_licenses
 
 TEXTS = [
     "", None, "Released under the MIT License.", "mit  LICENSE; mit license", "permit license",
@@ -48,3 +51,59 @@ def test_automaton():
         TemplateAutomaton("<<opt>>x")
     with pytest.raises(ValueError):
         TemplateAutomaton("<<var 2>> x")
+
+
+def as_pattern(markup):
+    """The template as an ordinary pattern over space-joined words."""
+    out = ""
+    for part in re.findall(r"<<opt>>|<</opt>>|<<var \d+>>|[^\s<>]+", markup):
+        if part == "<<opt>>":
+            out += "(?:"
+        elif part == "<</opt>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            out += rf"(?:[^ ]+ ){{0,{part[6:-2]}}}"
+        else:
+            out += re.escape(part) + " "
+    return re.compile(r"(?<![^ ])" + out)
+
+
+def wording(rng, markup):
+    """A random accepted wording, its words mixed in case and punctuation."""
+    out, skip = [], 0
+    for part in re.findall(r"<<opt>>|<</opt>>|<<var \d+>>|[^\s<>]+", markup):
+        if part == "<<opt>>":
+            skip = skip + 1 if skip or rng.random() < 0.5 else 0
+        elif part == "<</opt>>":
+            skip = max(0, skip - 1)
+        elif not skip:
+            out += [f"x{rng.randrange(9)}" for _ in range(rng.randint(0, int(part[6:-2])))] if part.startswith("<<var") else [part]
+    return "".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", ", ", ".\n", " (", "; "]) for w in out)
+
+
+def test_templates_equal_brute_force():
+    rng, scanner = random.Random(6), LicenseScanner(PHRASES, TEMPLATES)
+    patterns = {label: as_pattern(m) for label, m in TEMPLATES.items()}
+    found = 0
+    for label, markup in list(TEMPLATES.items()) * 12:
+        text = wording(rng, markup)
+        words = text.split()
+        kind = rng.randrange(3)
+        if kind == 1:  # one mandatory or optional word is another one
+            words[rng.randrange(len(words))] = "other"
+        elif kind == 2:  # or it is missing
+            del words[rng.randrange(len(words))]
+        text = f"before {' '.join(words)} after it"
+        line = " ".join(re.findall(r"[a-z0-9]+", text.lower())) + " "
+        want = {k for k, p in patterns.items() if p.search(line)}
+        assert set(scanner.scan(text)[3]) == want, text
+        found += label in want
+        assert kind or label in want
+    assert found > 100
+
+
+def test_many_places_take_linear_time():
+    start = time.perf_counter()
+    n, starts, *_ = LicenseScanner(PHRASES, TEMPLATES).scan("mit license " * 200_000)
+    assert (n, len(starts), starts[-1]) == (400_000, 200_000, 399_998)
+    assert time.perf_counter() - start < 15

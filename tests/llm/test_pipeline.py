@@ -21,13 +21,13 @@ def test_stages(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     kept = {r.doc_id for r in seen["quality"]}
     assert sum(labels[k] for k in labels if k in kept) >= 0.95 * sum(labels.values())
-    # brute force: smallest id of each group of linked fingerprints
+    # brute force: smallest id of each group of texts linked by fingerprints or shingle sets
     rows = sorted(seen["quality"], key=lambda r: r.doc_id)
-    fps, root = [shingle_simhash(r.text) for r in rows], list(range(len(rows)))
+    fps, sets, root = [shingle_simhash(r.text) for r in rows], [shingles(r.text) for r in rows], list(range(len(rows)))
     for _ in range(8):
         for i in range(len(rows)):
             for j in range(i):
-                if (fps[i] ^ fps[j]).bit_count() <= 4:
+                if (fps[i] ^ fps[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
                     root[i] = root[j] = min(root[i], root[j])
     assert {r.doc_id for r in seen["near_dedup"]} == {rows[i].doc_id for i in range(len(rows)) if root[i] == i}
     words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
@@ -92,3 +92,11 @@ def test_near_dedup_drops_near_copies(spark, sf_dir):
     assert only_jaccard > 20
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
     assert got == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_repeated_ids_have_a_defined_outcome(spark):
+    rows = [(3, "z later text", "en", {"k": 1}), (3, "a first text of two", "de", {"k": 2}), (3, "a first text of two", "aa", {"k": 3}), (4, "lonely words stand here", None, None), (None, "no id", None, None), (None, "no id", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, m map<string,int>")
+    for partitions in (1, 3):
+        got = keep_one(docs.repartition(partitions)).collect()
+        assert sorted((str(r.doc_id), r.text, str(r.lang)) for r in got) == [("3", "a first text of two", "aa"), ("4", "lonely words stand here", "None"), ("None", "no id", "None"), ("None", "no id", "None")]

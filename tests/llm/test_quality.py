@@ -34,3 +34,10 @@ def test_score_documents(spark):
     none = quality.train_model(docs, labels.limit(0))
     assert none is None and {r.score for r in quality.score_documents(docs.limit(5), none).collect()} == {0.5}
     assert quality.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_lowest_hashes(spark):
+    ids = spark.range(20_000).selectExpr("id * 7 AS id")
+    want = [r.id for r in ids.orderBy(quality.F.xxhash64("id", quality.F.lit("fit"))).limit(500).collect()]
+    assert sorted(r.id for r in quality.lowest_hashes(ids.union(ids).union(ids.filter("id = 7").crossJoin(spark.range(5000).select())), 500).collect()) == sorted(want)
+    assert quality.lowest_hashes(ids.limit(30), 500).count() == 30 and quality.lowest_hashes(ids.limit(0), 500).count() == 0
