@@ -8,9 +8,8 @@ one stands at places i and j with nothing in common before, so the overlap is at
 min(n - i, m - j): a pair that is similar passes this bound there, and unrelated texts with
 a common passage don't. Each candidate pair is decided on the whole sets.
 
-Only components are needed. So a shingle's texts are first held against one of them, in
-some rounds with another one each; all pairs are made only of texts that are in different
-components after that.
+Only components are needed. So a shingle's texts are first held against two of them; all
+pairs are made only of texts that are in different components after that.
 """
 
 from __future__ import annotations
@@ -96,25 +95,23 @@ def _frequent(texts: DataFrame, words: int, sample: int, most: int):
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; a stored table) whose whole sets are similar."""
+    """The components (src, dst) of those of ``pairs`` (a, b, src, dst; a stored table) whose whole sets are similar."""
     keys = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")
     hint = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
     sets = durable(_sets(texts.join(hint, "key", "left_semi"), words).dropDuplicates(["key"]).select("key", "shingles"), "shingle-sets")
 
-    def with_sets(rows: DataFrame, end: str, name: str) -> DataFrame:
-        ends = pairs.groupBy(end).agg(F.count("*").alias("times")).join(sets.withColumnsRenamed({"key": end, "shingles": name}), end)
-        return counted_join(rows, durable(ends, "ends"), [end], "times", 2000).drop("times")
-
-    both = with_sets(durable(with_sets(pairs, "a", "x"), "half"), "b", "y")
+    # a star's middle is at end b
+    ends = durable(pairs.groupBy("b").agg(F.count("*").alias("times")).join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"), "ends")
+    both = counted_join(pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a"), ends, ["b"], "times", 2000)
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("src", "dst")
 
 
-def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float = 0.8, words: int = 5, sample: int = 40_000, frequent: int = 1_000_000, rounds: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
+def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float = 0.8, words: int = 5, sample: int = 40_000, frequent: int = 1_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(node, component) of every node, in the graph of ``edges`` (src, dst) and of all similar texts.
 
     ``texts`` has (key, text), copies included; ``nodes`` (stored) the node of each key. Texts
-    without words are similar to none. ``sample``, ``frequent`` and ``rounds`` only bound the cost.
+    without words are similar to none. ``sample`` and ``frequent`` only bound the cost.
     """
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, sample, frequent))
     prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]), "prefixes")
@@ -132,32 +129,33 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
         least = similarity / (1 + similarity) * (c(x, "n") + c(y, "n")) - 1e-6
         return (c(x, "n") - c(x, "at") >= least) & (c(y, "n") - c(y, "at") >= least)
 
-    def mixed() -> tuple[DataFrame, DataFrame]:
-        """Shared shingles whose texts are in several components: their texts with their component, and per shingle the number of texts."""
+    def mixed() -> DataFrame:
+        """The rows of shared shingles whose texts are in several components, with their component."""
         named = durable(shared.join(labels.select("key", "part"), "key"), "named")
         groups = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
-        return durable(counted_join(named.drop("many"), groups, ["h"], "many"), "mixed-texts"), groups
+        return durable(counted_join(named.drop("many"), groups, ["h"], "many"), "mixed-texts")
 
     def merge(pairs: DataFrame) -> None:
         """Verify ``pairs`` (a, b and their components) and merge the components that they link."""
         nonlocal labels
         pairs = durable(pairs.distinct(), "pairs")
-        found = _similar(pairs.select("a", "b").distinct(), texts, words, similarity, broadcast_rows)
-        wider = durable(connected_components(found.join(pairs, ["a", "b"]).select("src", "dst")), "wider")
+        if pairs.isEmpty():
+            return
+        found = _similar(pairs, texts, words, similarity, broadcast_rows)
+        wider = durable(connected_components(found), "wider")
         labels = durable(labels.join(few(wider.select(F.col("node").alias("part"), "component")), "part", "left").select("key", "node", F.coalesce("component", "part").alias("part")), "labels")
 
-    row = lambda x, y: (F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b"), F.when(x["key"] < y["key"], x["part"]).otherwise(y["part"]).alias("src"), F.when(x["key"] < y["key"], y["part"]).otherwise(x["part"]).alias("dst"))
-    for turn in range(rounds):
-        rows, groups = mixed()
-        # the shortest text is in reach of most others; later rounds take another one
-        first = F.struct((F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))).alias("rank"), "key", "n", "at", "part")
-        pivots = durable(rows.groupBy("h").agg(F.min(first).alias("p"), F.count("*").alias("many")), "pivots")
-        met = counted_join(rows.drop("many"), pivots, ["h"], "many").filter((F.col("part") != F.col("p.part")) & passes("", "p"))
-        merge(met.select(*row({c: F.col(c) for c in ("key", "part")}, {c: F.col(f"p.{c}") for c in ("key", "part")})))
-    rows, _ = mixed()
-    sized = rows.select("h", "key", "n", "at", "part", F.floor(F.log("n") / -math.log(similarity)).alias("class"))
+    ends = lambda x, y: (F.col(f"{x}key").alias("a"), F.col(f"{y}key").alias("b"), F.col(f"{x}part").alias("src"), F.col(f"{y}part").alias("dst"))
+    rows = mixed()
+    # the shortest text is in reach of most others; the other one is any
+    middle = lambda rank: F.min(F.struct(rank.alias("rank"), "key", "n", "at", "part"))
+    pivots = rows.groupBy("h").agg(F.count("*").alias("many"), F.array(middle(F.col("n").cast("bigint")), middle(F.xxhash64("key"))).alias("ps"))
+    met = counted_join(rows.drop("many"), durable(pivots, "pivots"), ["h"], "many").withColumn("p", F.explode("ps"))
+    merge(met.filter((F.col("part") != F.col("p.part")) & passes("", "p")).select(*ends("", "p.")))
+    rows = mixed()
+    sized = rows.select("h", "key", "n", "at", "part", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)).alias("class"))
     # similar sets differ in size by the threshold at most: they are in one class or in neighbours
     other = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
     met = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter((F.col("x.part") != F.col("y.part")) & passes("x", "y"))
-    merge(met.select(*row(*({c: F.col(f"{t}.{c}") for c in ("key", "part")} for t in "xy"))))
+    merge(met.filter("x.n > y.n OR (x.n = y.n AND x.key > y.key)").select(*ends("x.", "y.")))
     return labels.groupBy("node").agg(F.min("part").alias("component"))
