@@ -40,15 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: dict[int, list[str]] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the session's durable tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(id(spark), []).append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it is computed once and survives lost executors.
 
     Results that read such a table need it until they are written; clear_durable() removes all of a session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _TABLES.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

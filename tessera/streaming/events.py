@@ -6,14 +6,13 @@ stream to its end. Event time must be of type timestamp.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.session import shared_dir
+from tessera.session import scratch_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -74,7 +73,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     batch that is run again replaces itself and nothing passes through the driver.
     """
     spark = stream.sparkSession
-    at, done = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
+    at, done = scratch_path(spark, "stream"), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/{number}")

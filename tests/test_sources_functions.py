@@ -103,3 +103,15 @@ def test_sampling(spark, sf_dir):
     assert abs(lines.sample(fraction=0.2, seed=1).count() - 0.2 * n) < 0.05 * n
     by = {r.l_returnflag: r["count"] for r in lines.sampleBy("l_returnflag", {"A": 1.0, "N": 0.0, "R": 0.5}, 1).groupBy("l_returnflag").count().collect()}
     assert by["A"] == lines.filter("l_returnflag = 'A'").count() and "N" not in by
+
+
+def test_durable_tables_are_removed(spark):
+    import os
+
+    from tessera import session
+
+    session.clear_durable(spark)
+    kept = session.durable(spark.range(10), "kept")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 10 and os.path.isdir(path)
+    assert session.clear_durable(spark) == 1 and not os.path.exists(path) and session.clear_durable(spark) == 0
