@@ -84,8 +84,8 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16, h
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def counted_join(large: DataFrame, small: DataFrame, keys: list[str], count: str, share: int = 100_000) -> DataFrame:
-    """Inner equi-join with one row per key that says, in ``count``, how many rows of the large side have the key.
+def counted_join(large: DataFrame, small: DataFrame, keys: list[str], count: str, share: int = 100_000, how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) with one row per key that says, in ``count``, how many rows of the large side have the key.
 
     Keys with more than one of ``share`` of all rows are at most ``share``, whatever the
     tables' size: they are broadcast, so no hot key lands in one task. The other keys are
@@ -95,7 +95,7 @@ def counted_join(large: DataFrame, small: DataFrame, keys: list[str], count: str
     hot = small.filter(F.col(count) > total / share)
     cold = small.filter(F.col(count) <= total / share)
     near = large.join(F.broadcast(hot), keys)
-    return near.union(large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*near.columns))
+    return near.union(large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how).select(*near.columns))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

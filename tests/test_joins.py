@@ -68,4 +68,6 @@ def test_counted_join(spark):
     for share in (100_000, 10, 1):
         got = sorted((r.k, r.i, r.name) for r in joins.counted_join(large, small, ["k"], "n", share).collect())
         assert got == sorted((r.k, r.i, r.name) for r in large.join(small, "k").collect())
+        left = joins.counted_join(large, small, ["k"], "n", share, "left")
+        assert sorted(map(str, left.select("k", "i", "name").collect())) == sorted(map(str, large.join(small, "k", "left").select("k", "i", "name").collect()))
     assert joins.counted_join(large, small.limit(0), ["k"], "n").count() == 0
