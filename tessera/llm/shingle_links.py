@@ -8,8 +8,9 @@ one stands at places i and j with nothing in common before, so the overlap is at
 min(n - i, m - j): a pair that is similar passes this bound there, and unrelated texts with
 a common passage don't. Each candidate pair is decided on the whole sets.
 
-Only components are needed. So a shingle's texts are first held against two of them; all
-pairs are made only of texts that are in different components after that.
+The prefixes are dealt by shingle once. A shingle of few texts gives its pairs there and then.
+Of a shingle of many texts each text is held against the shortest one; only components are
+needed, so other pairs are made only of texts that are in different components after that.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from tessera.operators.joins import counted_join
 from tessera.session import durable
 
 _BATCH = 512
+#: A shingle of up to so many texts gives all its pairs at once, so at most half as many a row.
+_FEW = 16
+#: So many rows of one shingle are held at most.
+_HELD = 65536
 
 
 def shingle_set(text: str, words: int = 5):
@@ -94,6 +99,70 @@ def _frequent(texts: DataFrame, words: int, sample: int, most: int):
     return hashes.view(np.uint64)[order], n[order]
 
 
+def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """What texts that share a prefix element give: rows (pair, x, y, n, at).
+
+    With ``pair`` x and y are the keys of two texts that pass the overlap bound at a shared
+    element. Without, x is an element of more than _FEW texts and y, n, at one of them.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        share = similarity / (1 + similarity)
+        names = ["pair", "x", "y", "n", "at"]
+
+        def passing(n, at, i, j):
+            least = share * (n[i] + n[j]) - 1e-6
+            return (n[i] - at[i] >= least) & (n[j] - at[j] >= least)
+
+        def work(h, n, key, at, large):
+            """Pairs and rows of sorted whole groups; ``large``: the first group is one of many texts, whatever is here of it."""
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+            many = np.diff(np.append(starts, len(h))) > _FEW
+            many[:1] |= large
+            some = many[group]
+            pairs = []
+            for d in range(1, _FEW):
+                i = np.flatnonzero((h[d:] == h[:-d]) & ~some[d:])
+                if not len(i):
+                    break
+                good = passing(n, at, i, i + d)
+                pairs.append((key[i[good]], key[i[good] + d]))
+            i = np.flatnonzero(some & ~first)
+            j = starts[group[i]]
+            good = passing(n, at, i, j)
+            pairs.append((key[i[good]], key[j[good]]))
+            a, b = (np.concatenate(c) for c in zip(*pairs))
+            rest = np.flatnonzero(some & ~(first & large & (group == 0)))
+            zero = np.zeros(len(a), np.int32)
+            columns = np.repeat([True, False], [len(a), len(rest)]), np.concatenate([a, h[rest]]), np.concatenate([b, key[rest]]), np.concatenate([zero, n[rest]]), np.concatenate([zero, at[rest]])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        held, large = None, False
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield work(*(c[:cut] for c in rows), large)
+                large = False
+            held = [c[cut:] for c in rows]
+            if len(held[0]) > _HELD:  # of a very large group only its first text is held on
+                yield work(*held, large)
+                held, large = [c[:1] for c in held], True
+        if held is not None:
+            yield work(*held, large)
+
+    placed = prefixes.select("n", "key", F.posexplode("shingles").alias("at", "h")).select("h", "n", "key", "at")
+    return placed.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(run, "pair boolean, x bigint, y bigint, n int, at int")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
     """The components (src, dst) of those of ``pairs`` (a, b, src, dst; a stored table) whose whole sets are similar."""
     keys = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")
@@ -115,47 +184,34 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     """
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, sample, frequent))
     prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]), "prefixes")
-    placed = prefixes.select("key", "n", F.posexplode("shingles").alias("at", "h"))
-    many = durable(placed.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"), "shared-shingles")
-    shared = durable(counted_join(placed, many, ["h"], "many").select("h", "many", "key", "n", "at"), "shared")
+    met = durable(_meetings(prefixes, similarity), "meetings")
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
 
     parts = durable(connected_components(edges.select("src", "dst")), "parts")
     labels = nodes.join(few(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     labels = durable(labels, "labels")
 
-    def passes(x: str, y: str) -> Column:
-        c = lambda t, name: F.col(f"{t}.{name}") if t else F.col(name)
-        least = similarity / (1 + similarity) * (c(x, "n") + c(y, "n")) - 1e-6
-        return (c(x, "n") - c(x, "at") >= least) & (c(y, "n") - c(y, "at") >= least)
-
-    def mixed() -> DataFrame:
-        """The rows of shared shingles whose texts are in several components, with their component."""
-        named = durable(shared.join(labels.select("key", "part"), "key"), "named")
-        groups = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
-        return durable(counted_join(named.drop("many"), groups, ["h"], "many"), "mixed-texts")
-
     def merge(pairs: DataFrame) -> None:
-        """Verify ``pairs`` (a, b and their components) and merge the components that they link."""
+        """Verify ``pairs`` (a, b) of texts in different components and merge the components that they link."""
         nonlocal labels
-        pairs = durable(pairs.distinct(), "pairs")
+        part = lambda key, name: labels.select(F.col("key").alias(key), F.col("part").alias(name))
+        pairs = durable(pairs.distinct().join(part("a", "src"), "a").join(part("b", "dst"), "b").filter("src <> dst"), "pairs")
         if pairs.isEmpty():
             return
-        found = _similar(pairs, texts, words, similarity, broadcast_rows)
-        wider = durable(connected_components(found), "wider")
+        wider = durable(connected_components(_similar(pairs, texts, words, similarity, broadcast_rows)), "wider")
         labels = durable(labels.join(few(wider.select(F.col("node").alias("part"), "component")), "part", "left").select("key", "node", F.coalesce("component", "part").alias("part")), "labels")
 
-    ends = lambda x, y: (F.col(f"{x}key").alias("a"), F.col(f"{y}key").alias("b"), F.col(f"{x}part").alias("src"), F.col(f"{y}part").alias("dst"))
-    rows = mixed()
-    # the shortest text is in reach of most others; the other one is any
-    middle = lambda rank: F.min(F.struct(rank.alias("rank"), "key", "n", "at", "part"))
-    pivots = rows.groupBy("h").agg(F.count("*").alias("many"), F.array(middle(F.col("n").cast("bigint")), middle(F.xxhash64("key"))).alias("ps"))
-    met = counted_join(rows.drop("many"), durable(pivots, "pivots"), ["h"], "many").withColumn("p", F.explode("ps"))
-    merge(met.filter((F.col("part") != F.col("p.part")) & passes("", "p")).select(*ends("", "p.")))
-    rows = mixed()
-    sized = rows.select("h", "key", "n", "at", "part", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)).alias("class"))
+    merge(met.filter("pair").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # the texts of shingles of many texts that are still in several components
+    rows = met.filter("NOT pair").select(F.col("x").alias("h"), F.col("y").alias("key"), "n", "at")
+    named = durable(rows.join(labels.select("key", "part"), "key"), "named")
+    mixed = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
+    sized = counted_join(named, mixed, ["h"], "many").select("h", "key", "n", "at", "part", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)).alias("class"))
     # similar sets differ in size by the threshold at most: they are in one class or in neighbours
+    sized = durable(sized, "mixed-texts")
     other = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-    met = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter((F.col("x.part") != F.col("y.part")) & passes("x", "y"))
-    merge(met.filter("x.n > y.n OR (x.n = y.n AND x.key > y.key)").select(*ends("x.", "y.")))
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    passes = (F.col("x.part") != F.col("y.part")) & (F.col("x.n") - F.col("x.at") >= least) & (F.col("y.n") - F.col("y.at") >= least)
+    across = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter(passes & F.expr("x.n > y.n OR (x.n = y.n AND x.key > y.key)"))
+    merge(across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
     return labels.groupBy("node").agg(F.min("part").alias("component"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import xxhash
@@ -6,6 +7,7 @@ import xxhash
 import pytest
 
 from tessera.llm import fingerprints as prints
+from tessera.llm import shingle_links
 from tessera.llm.simhash_dedup import near_duplicates, shingle_simhash
 
 
@@ -76,3 +78,28 @@ def test_near_counts(spark, sf_dir, radius):
     got = prints.fingerprint_table(docs, radius).collect()
     fps = [int(r.fingerprint, 16) for r in got]
     assert [r.n_near for r in got] == [sum((a ^ b).bit_count() <= radius for b in fps) - 1 for a in fps]
+
+
+def test_meetings_of_many_texts(spark, monkeypatch):
+    """Groups of few texts give all pairs that pass, larger ones stars and each row once, also where a group is held in parts."""
+    monkeypatch.setattr(shingle_links, "_FEW", 3)
+    monkeypatch.setattr(shingle_links, "_HELD", 10)
+    rng = random.Random(3)
+    rows = {k: (rng.randint(8, 12), sorted(rng.sample(range(40), rng.randint(1, 3))) + ([99] if k < 90 else [])) for k in range(120)}
+    frame = spark.createDataFrame([(k, n, hs) for k, (n, hs) in rows.items()], "key bigint, n int, shingles array<bigint>").repartition(3)
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = shingle_links._meetings(frame, 0.8).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    at = {(k, h): i for k, (_, hs) in rows.items() for i, h in enumerate(hs)}
+    passes = lambda a, b, h: all(rows[x][0] - at[x, h] >= 4 / 9 * (rows[a][0] + rows[b][0]) - 1e-6 for x in (a, b))
+    pairs, rest = set(), []
+    for h in {h for _, hs in rows.values() for h in hs}:
+        own = sorted((rows[k][0], k) for k, (_, hs) in rows.items() if h in hs)
+        keys = [k for _, k in own]
+        some = [(keys[0], k) for k in keys[1:]] if len(keys) > 3 else [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+        pairs |= {(*sorted(p),) for p in some if passes(*p, h)}
+        rest += [(h, k) for k in keys] if len(keys) > 3 else []
+    assert {(*sorted((r.x, r.y)),) for r in got if r.pair} == pairs
+    assert sorted((r.x, r.y) for r in got if not r.pair) == sorted(rest)
+    assert all(rows[r.y][0] == r.n and at[r.y, r.x] == r.at for r in got if not r.pair)
