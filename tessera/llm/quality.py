@@ -70,6 +70,16 @@ def _design(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return (x[:, :, None] > cuts[None]).reshape(len(x), -1).astype(np.float32)
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Scores; the large matrix stays in single precision, a wider vector would copy it."""
+    return (x @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
+
+
+def _back(g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean gradient of the weights and the bias from those of the scores."""
+    return np.append((g.astype(np.float32) @ x).astype(np.float64), g.sum()) / len(x)
+
+
 def _descend(gradient, size: int, steps: int, rate: float) -> tuple[np.ndarray, float]:
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -86,11 +96,11 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, penalty: float) -> float:
         a, b = _design(p[fit::2], cuts), _design(u[fit::2], cuts)
 
         def gradient(w, a=a, b=b):
-            gp, gu = _sigmoid(a @ w[:-1] + w[-1]) - 1, _sigmoid(b @ w[:-1] + w[-1])
-            return np.append(gp @ a / len(a) + gu @ b / len(b) + penalty * w[:-1], gp.mean() + gu.mean())
+            gp, gu = _sigmoid(_times(a, w)) - 1, _sigmoid(_times(b, w))
+            return _back(gp, a) + _back(gu, b) + np.append(penalty * w[:-1], 0)
 
         w, bias = _descend(gradient, a.shape[1], 150, 0.05)
-        sp, su = (np.sort(_design(x[read::2], cuts) @ w + bias) for x in (p, u))
+        sp, su = (np.sort(_times(_design(x[read::2], cuts), np.append(w, bias))) for x in (p, u))
         # scores that at least half of the positives reach: below that the ratio is mostly noise
         at = np.quantile(sp, np.linspace(0, 0.5, 51))
         above = lambda s: 1 - np.searchsorted(s, at, side="left") / len(s)
@@ -106,19 +116,18 @@ def fit_model(p: np.ndarray, u: np.ndarray, prior: float | None = None, penalty:
     a, b = _design(p, cuts), _design(u, cuts)
 
     def gradient(w):
-        fp, fu = a @ w[:-1] + w[-1], b @ w[:-1] + w[-1]
+        fp, fu = _times(a, w), _times(b, w)
         down_p, up_p, up_u = _sigmoid(fp) - 1, _sigmoid(fp), _sigmoid(fu)
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        part = lambda g, x: np.append(g @ x, g.sum()) / len(x)
-        unlabelled = part(up_u, b) - prior * part(up_p, a)
+        unlabelled = _back(up_u, b) - prior * _back(up_p, a)
         # a negative part below zero is overfit: step back up along it instead
-        g = prior * part(down_p, a) + unlabelled if negative >= 0 else -unlabelled
+        g = prior * _back(down_p, a) + unlabelled if negative >= 0 else -unlabelled
         return g + np.append(penalty * w[:-1], 0)
 
     w, bias = _descend(gradient, a.shape[1], steps, 0.03)
     # the risk hardly fixes where between the two groups the scores cross 1/2: put it at the lower
     # end of the trusted positives if it lies below that
-    lowest = np.quantile(a @ w + bias, 0.002)
+    lowest = np.quantile(_times(a, np.append(w, bias)), 0.002)
     return QualityModel(cuts, w, bias - max(0.0, lowest), prior)
 
 
@@ -164,9 +173,10 @@ def train_model(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlab
     web = lowest_hashes(fitting(docs.select(F.col(id_col).alias("id"))), unlabelled).withColumn("positive", F.lit(False))
     wanted = F.broadcast(trusted.union(web).distinct())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("positive", "text")
-    found = _features(rows, "positive boolean, value array<double>", ["positive"]).collect()
-    x = lambda kind: np.array(sorted(r.value for r in found if r.positive == kind))
-    p, u = x(True), x(False)
+    found = _features(rows, "positive boolean, value array<double>", ["positive"]).toArrow()
+    kind, values = found.column(0).to_numpy(), found.column(1).combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    ordered = lambda x: x[np.lexsort(x.T[::-1])]
+    p, u = ordered(values[kind.astype(bool)]), ordered(values[~kind.astype(bool)])
     if min(len(p), len(u)) < 4:
         return None
     order = np.random.default_rng(0)
