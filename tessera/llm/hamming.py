@@ -22,6 +22,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import durable
+
 #: Up to so many fingerprints are compared directly at a leaf of a vantage-point tree.
 LEAF = 64
 
@@ -47,9 +49,12 @@ def shards(fps: DataFrame, words: list[str], masks: list[list[int]], radius: int
     """
     tables = F.array(*(F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *(F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(words, mask) if m)).alias("key")) for t, mask in enumerate(masks)))
     own = fps.select(*fps.columns, F.inline(tables))
-    pivots = [f(F.struct(*words)).alias(n) for f, n in ((F.min, "p0"), (F.max, "p1"))]
-    large = own.groupBy("table", "key").agg(F.count("*").alias("many"), *pivots).filter(F.col("many") > hot).drop("many")
-    joined = own.join(large, ["table", "key"], "left")
+    # the key tells tables apart as well
+    crowded = durable(own.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > hot).select("key"), "hot-shards")
+    if crowded.isEmpty():
+        return own.withColumn("cell", F.lit(0)).withColumn("guest", F.lit(0))
+    pivots = own.join(crowded, "key").groupBy("key").agg(*(f(F.struct(*words)).alias(n) for f, n in ((F.min, "p0"), (F.max, "p1"))))
+    joined = own.join(pivots, "key", "left")
 
     def shells(pivot: str, bit: int) -> Column:
         distance = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{pivot}.{c}"))) for c in words))
