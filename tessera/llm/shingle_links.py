@@ -9,8 +9,9 @@ min(n - i, m - j): a pair that is similar passes this bound there, and unrelated
 a common passage don't. Each candidate pair is decided on the whole sets.
 
 The prefixes are dealt by shingle once. A shingle of few texts gives its pairs there and then.
-Of a shingle of many texts each text is held against the shortest one; only components are
-needed, so other pairs are made only of texts that are in different components after that.
+Of a shingle of many texts each text is held against the shortest one, then, where they are
+still in several components, against two more; only components are needed, so other pairs
+are made only of texts that are in different components after that.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tessera.session import durable
 
 _BATCH = 512
 #: A shingle of up to so many texts gives all its pairs at once, so at most half as many a row.
-_FEW = 16
+_FEW = 64
 #: So many rows of one shingle are held at most.
 _HELD = 65536
 
@@ -204,14 +205,28 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     merge(met.filter("pair").select(F.col("x").alias("a"), F.col("y").alias("b")))
     # the texts of shingles of many texts that are still in several components
     rows = met.filter("NOT pair").select(F.col("x").alias("h"), F.col("y").alias("key"), "n", "at")
-    named = durable(rows.join(labels.select("key", "part"), "key"), "named")
-    mixed = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
-    sized = counted_join(named, mixed, ["h"], "many").select("h", "key", "n", "at", "part", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)).alias("class"))
+
+    def mixed() -> DataFrame:
+        named = durable(rows.join(labels.select("key", "part"), "key"), "named")
+        groups = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
+        return durable(counted_join(named, groups, ["h"], "many"), "mixed-texts")
+
+    def passes(x: str, y: str) -> Column:
+        c = lambda t, name: F.col(f"{t}{name}")
+        least = similarity / (1 + similarity) * (c(x, "n") + c(y, "n")) - 1e-6
+        return (c(x, "part") != c(y, "part")) & (c(x, "n") - c(x, "at") >= least) & (c(y, "n") - c(y, "at") >= least)
+
+    now = mixed()
+    if now.isEmpty():
+        return labels.groupBy("node").agg(F.min("part").alias("component"))
+    rows = now.select("h", "key", "n", "at")
+    one = lambda f: f(F.struct(F.xxhash64("key").alias("mixed"), "key", "n", "at", "part"))
+    middles = durable(now.groupBy("h").agg(F.count("*").alias("many"), F.array(one(F.min), one(F.max)).alias("p")), "middles")
+    star = counted_join(now.drop("many"), middles, ["h"], "many").withColumn("p", F.explode("p")).filter(passes("", "p."))
+    merge(star.select(F.col("key").alias("a"), F.col("p.key").alias("b")))
     # similar sets differ in size by the threshold at most: they are in one class or in neighbours
-    sized = durable(sized, "mixed-texts")
+    sized = mixed().withColumn("class", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)))
     other = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    passes = (F.col("x.part") != F.col("y.part")) & (F.col("x.n") - F.col("x.at") >= least) & (F.col("y.n") - F.col("y.at") >= least)
-    across = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter(passes & F.expr("x.n > y.n OR (x.n = y.n AND x.key > y.key)"))
+    across = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter(passes("x.", "y.") & F.expr("x.n > y.n OR (x.n = y.n AND x.key > y.key)"))
     merge(across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
     return labels.groupBy("node").agg(F.min("part").alias("component"))
