@@ -99,7 +99,7 @@ def test_templates_equal_brute_force():
         assert set(scanner.scan(text)[3]) == want, text
         found += label in want
         assert kind or label in want
-    assert found > 100
+    assert found > 80
 
 
 def test_many_places_take_linear_time():
