@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Folders of durable tables, by session.
-_TABLES: dict[int, list[str]] = {}
+#: Folders of stored tables, by application.
+_TABLES: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed with the session's durable tables."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.setdefault(id(spark), []).append(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -60,7 +60,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 def clear_durable(spark: SparkSession) -> int:
     """Remove the session's durable tables once no result reads them any more; returns how many there were."""
-    paths = _TABLES.pop(id(spark), [])
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
