@@ -55,14 +55,27 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def drop_durable(df: DataFrame) -> None:
+    """Remove one durable table that nothing reads any more, as between the rounds of an iteration."""
+    path, paths = df.__dict__.pop("_stored_at", None), _TABLES.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in paths:
+        _delete(df.sparkSession, path)
+        paths.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear_durable(spark: SparkSession) -> int:
     """Remove the session's durable tables once no result reads them any more; returns how many there were."""
     paths = _TABLES.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
     return len(paths)
