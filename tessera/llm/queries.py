@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, html_wrap, licenses, packing, pii, quality, secret_scan, simhash_dedup, token_counts
+from tessera.llm import decontaminate, fingerprints, html_wrap, licenses, packing, pii, quality, secret_scan, simhash_dedup, token_counts, vector_codes
 from tessera.session import durable
 from tessera.sources.tables import read_table
 
@@ -84,3 +84,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return html_wrap.extract_pages(pages, durable(html_wrap.induce_wrappers(pages), "wrappers"))
+
+
+@query()
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(*vector_codes.train_codes(read_table(spark, sf_dir, "embeddings"), positions=8, entries=16, rounds=6))
