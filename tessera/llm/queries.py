@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversation_trie, decontaminate, fingerprints, html_wrap, licenses, packing, pii, quality, secret_scan, simhash_dedup, token_counts, vector_codes
+from tessera.llm import conversation_trie, decontaminate, fingerprints, html_wrap, licenses, packing, pii, quality, secret_scan, simhash_dedup, token_counts, toxicity, vector_codes
 from tessera.session import durable
 from tessera.sources.tables import read_table
 
@@ -95,3 +95,9 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read_table(spark, sf_dir, "conversations")
     return conversation_trie.prefix_trie(conversation_trie.with_shared_openings(conversations, group=100, openings=6))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train_model(docs, read_table(spark, sf_dir, "labels")))
