@@ -39,7 +39,8 @@ FEATURES = (
 )
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PILED = re.compile(r"[!?]{2,}")
-_SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
+#: Words written letter by letter: four single letters in a row or more.
+_SPELT = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _HIDES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", ".": None, "-": None, "_": None, "*": None, "'": None})
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*+-/=@^_`|~¿¡«»„“”…"
@@ -53,30 +54,37 @@ def stems(word: str) -> set[str]:
 
 
 class Words:
-    """Looks up written words: (weight of its heaviest stem, fixed insult, second person, found only once undisguised)."""
+    """Looks up written words; what most of them are, nothing of note, is None.
+
+    Otherwise (weight of its heaviest stem, fixed insult, second person, found only once
+    undisguised, capitals, shouted, digits among letters, stretched, single letter, the word in plain).
+    """
 
     def __init__(self, weights: dict[str, float], most: int = 200_000):
         self.weights, self.most, self.memo = weights, most, {}
+        self.heads = {s[:3] for s in weights}
 
     def weight(self, word: str) -> float:
-        return max((self.weights.get(s, 0.0) for s in stems(word)), default=0.0)
-
-    def look(self, token: str) -> tuple[float, bool, bool, bool]:
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            low = token.lower()
-            core = low.strip(_EDGES)
-            plain = _LETTERS.findall(core)
-            word = plain[0] if len(plain) == 1 and len(plain[0]) == len(core) else ""
-            weight, insult, hidden = self.weight(word) if word else 0.0, word in INSULTS, False
-            if not word and core or _STRETCHED.search(core):
-                bare = _STRETCHED.sub(r"\1", low.rstrip(".,;:!?").translate(_HIDES)).strip(_EDGES)
-                if bare.isalpha() and len(bare) > 2:
-                    weight, insult = max(weight, self.weight(bare)), insult or bare in INSULTS
-                    hidden = weight > 0 or insult
-            found = self.memo[token] = (weight, insult, word in YOU, hidden)
+        # no stem is shorter than three letters, its end mark included
+        return max(self.weights.get(s, 0.0) for s in stems(word)) if (word + "|")[:3] in self.heads else 0.0
+
+    def look(self, token: str) -> tuple | None:
+        if len(self.memo) >= self.most:
+            self.memo.clear()
+        low = token.lower()
+        core = low.strip(_EDGES)
+        word = core if core.isalpha() else ""
+        stretched = _STRETCHED.search(core) is not None
+        weight, insult, hidden, mixed = self.weight(word) if word else 0.0, word in INSULTS, False, False
+        if not word and core or stretched:
+            bare = _STRETCHED.sub(r"\1", low.rstrip(".,;:!?").translate(_HIDES)).strip(_EDGES)
+            if bare.isalpha() and len(bare) > 2:
+                weight, insult = max(weight, self.weight(bare)), insult or bare in INSULTS
+                hidden = weight > 0 or insult
+            mixed = any(map(str.isdigit, core)) and any(map(str.isalpha, core))
+        caps = 0 if token == low else sum(map(str.isupper, token))
+        found = (weight, insult, word in YOU, hidden, caps, caps > 2 and token.isupper(), mixed, stretched, len(core) == 1, core)
+        self.memo[token] = found = found if any(found[:-1]) else None
         return found
 
 
@@ -86,30 +94,42 @@ def text_features(text: str, words: Words) -> list[float]:
     n = len(tokens)
     if not n:
         return [0.0] * len(FEATURES)
-    counts, look = Counter(tokens), words.look
-    known = {t: look(t) for t in counts}
-    total = lambda f: sum(c for t, c in counts.items() if f(known[t])) / n
-    heavy = sorted(((k[0], t.lower().strip(_EDGES)) for t, k in known.items() if k[0] > 0), reverse=True)
-    apart = list(dict.fromkeys(w for _, w in heavy))
-    second = next((w for w, t in heavy if t != heavy[0][1]), 0.0) if heavy else 0.0
-    hits = {t for t, k in known.items() if k[0] > 0 or k[1]}
-    yous = {t for t, k in known.items() if k[2]}
-    near = 0
-    if hits and yous:
-        at = np.array([i for i, t in enumerate(tokens) if t in yous])
+    memo, look = words.memo, words.look
+    insults = strong = weak = yous = hidden = caps = shouted = mixed = stretched = singles = 0
+    weight, heavy, rude, hits, you_at = 0.0, {}, set(), set(), set()
+    for token, c in Counter(tokens).items():
+        found = memo[token] if token in memo else look(token)
+        if found is None:
+            continue
+        w, insult, you, hid, upper, loud, mix, long, single, core = found
+        caps, shouted, mixed, stretched, singles = caps + c * upper, shouted + c * loud, mixed + c * mix, stretched + c * long, singles + c * single
+        if w or insult:
+            weight, insults, hidden = weight + c * w, insults + c * insult, hidden + c * hid
+            strong, weak = strong + c * (w >= 4), weak + c * (0 < w < 4)
+            hits.add(token)
+            if w:
+                heavy[core] = max(w, heavy.get(core, 0.0))
+            if insult:
+                rude.add(core)
+        if you:
+            yous += c
+            you_at.add(token)
+    near = 0.0
+    if hits and you_at:
+        at = np.array([i for i, t in enumerate(tokens) if t in you_at])
         marks = np.array([i for i, t in enumerate(tokens) if t in hits])
         right = np.searchsorted(at, marks)
         gap = np.minimum(np.abs(marks - at[np.minimum(right, len(at) - 1)]), np.abs(marks - at[np.maximum(right - 1, 0)]))
-        near = float((gap <= 4).sum()) / n
-    spelt = [re.sub(r"[ .*_-]", "", m).lower() for m in _SPELT.findall(text)]
-    hidden = total(lambda k: k[3]) + sum(words.weight(w) > 0 or w in INSULTS for w in spelt) / n
-    letters = sum(map(len, tokens))
+        near = float((gap <= 4).sum())
+    spelt = [m.lower().replace(" ", "") for m in _SPELT.findall(" ".join(tokens))] if singles >= 4 else []
+    hidden += sum(words.weight(w) > 0 or w in INSULTS for w in spelt)
+    top = sorted(heavy.values())[-2:]
+    letters = len("".join(tokens))
+    rate = lambda *v: [x / n for x in v]
     return [
-        np.log1p(n), np.log1p(len(text)), total(lambda k: k[1]), np.log1p(len({t.lower().strip(_EDGES) for t, k in known.items() if k[1]})),
-        sum(c * known[t][0] for t, c in counts.items()) / n, total(lambda k: k[0] >= 4), total(lambda k: 0 < k[0] < 4), np.log1p(len(apart)), heavy[0][0] if heavy else 0.0, second,
-        total(lambda k: k[2]), near, sum(map(str.isupper, text)) / letters if letters else 0.0, sum(c for t, c in counts.items() if len(t) > 2 and t.isupper()) / n,
-        text.count("!") / n, text.count("?") / n, len(_PILED.findall(text)) / n, sum(map(text.count, "#$%&*@")) / letters,
-        sum(c for t, c in counts.items() if not t.isalpha() and any(map(str.isdigit, t)) and any(map(str.isalpha, t))) / n, hidden, len(spelt) / n, sum(c for t, c in counts.items() if _STRETCHED.search(t)) / n,
+        np.log1p(n), np.log1p(len(text)), insults / n, np.log1p(len(rude)), *rate(weight, strong, weak), np.log1p(len(heavy)), top[-1] if top else 0.0, top[0] if len(top) > 1 else 0.0,
+        *rate(yous, near), caps / letters, *rate(shouted, text.count("!"), text.count("?"), len(_PILED.findall(text))), sum(map(text.count, "#$%&*@")) / letters,
+        *rate(mixed, hidden, len(spelt), stretched),
     ]
 
 
