@@ -16,7 +16,7 @@ from tessera.session import scratch_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over a folder of Parquet files, in the order of their times."""
+    """A stream over a folder of Parquet files, in the order of their times (to the millisecond)."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -51,6 +51,41 @@ def interval_stream_join(left: DataFrame, right: DataFrame, key: str, seconds: i
     return left.join(r, (F.col(key) == F.col("r_key")) & within).select("event_id", "r_event_id")
 
 
+def outer_interval_join(left: DataFrame, right: DataFrame, key: str, seconds: int, column: str = "ts", how: str = "left_outer") -> DataFrame:
+    """interval_stream_join() that keeps left rows without a match: (event_id, key, ``column``, r_event_id).
+
+    A stream gives such a row, with a null, once the watermark has passed the last time a match could have; both
+    sides need watermarks. Spark takes the smaller of two watermarks (spark.sql.streaming.multipleWatermarkPolicy=min), so
+    a side that stands still holds the nulls back, and loses no match. ``how``: left_outer or inner.
+    """
+    if how not in ("left_outer", "inner"):
+        raise ValueError(f"an interval after the left row can't be joined {how}")
+    r = right.select(F.col(key).alias("r_key"), F.col(column).alias("r_ts"), F.col("event_id").alias("r_event_id"))
+    within = (F.col("r_ts") >= F.col(column)) & (F.col("r_ts") <= F.col(column) + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return left.join(r, (F.col(key) == F.col("r_key")) & within, how).select("event_id", key, column, "r_event_id")
+
+
+def match_rates(joined: DataFrame, size: str, column: str = "ts") -> DataFrame:
+    """Per window of the left rows' time: pairs, and left rows without one. A second stateful operator behind the join, in append mode."""
+    return joined.groupBy(F.window(column, size).alias("w")).agg(F.count("r_event_id").alias("pairs"), F.count_if(F.col("r_event_id").isNull()).alias("unmatched")).select(F.col("w.start").alias("start"), "pairs", "unmatched")
+
+
+def in_slices(df: DataFrame, column: str, slices: int) -> str:
+    """Store a table as ``slices`` files of rising ``column``, for stream_files() with one file a batch; returns the folder.
+
+    Bounds come from approximate quantiles; each slice is one write, so that file times follow the order.
+    """
+    spark = df.sparkSession
+    path, at = scratch_path(spark, "slices"), F.unix_micros(F.col(column).cast("timestamp"))
+    cuts = sorted(set((df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000)).first()[0] or []) if slices > 1 else []))
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df.filter(F.coalesce(at > low, F.lit(False)) if low is not None else (at <= high) | at.isNull() if high is not None else F.lit(True))
+        part = part if high is None or low is None else part.filter(at <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def running_totals(df: DataFrame, key: str) -> DataFrame:
     """Per key the count and sum of ``value`` so far, by keyed state; a row per key and batch."""
     import pandas as pd
