@@ -67,7 +67,7 @@ class WordEncoder:
             if _PROSE.fullmatch(low) and ".." not in low and ",," not in low and ".," not in low and ",." not in low and "İ" not in text:
                 words = low.replace(".", " . ").replace(",", " , ").split()
                 plain.update(words)
-            elif _UNUSUAL.search(text):
+            elif _UNUSUAL.search(text) or _UNUSUAL.search(low):  # some capitals' small letters lie beyond the range
                 words = _SPLIT.split(text)
                 raw.update(words)
             else:

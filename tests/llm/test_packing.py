@@ -86,3 +86,18 @@ def test_pack_documents(spark):
         assert ends <= 64
     empty = packing.pack_documents(docs.limit(0), vocabulary("word_bpe_49k.json"))
     assert empty.count() == 0
+
+
+def test_every_letter_is_encoded_as_by_the_tokenizer():
+    from tessera.llm.queries import vocabulary
+    from tessera.llm.tokens import WordEncoder
+
+    path = vocabulary("word_bpe_49k.json")
+    encoder = WordEncoder(path)
+    marks = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000] + [0x1F600, 0xE0001, 0x10FFFF]
+    texts = [t for c in marks for t in (f"A{chr(c)}b x{chr(c)}, y", chr(c))] + ["Əliyev Ɔkomfo", "ƎƟƩ ɎɄ", "Ɓukar Ɗan Ƙasa"]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = encoder._one_by_one(part)
+        wrong = [t for t, a, b in zip(part, encoder.encode(part), want) if a != b]
+        assert not wrong, [ascii(t) for t in wrong[:20]]
