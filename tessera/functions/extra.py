@@ -62,3 +62,45 @@ def register_table_function(spark: SparkSession, name: str, handler: type, retur
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``f`` over an iterator of Arrow record batches of each partition."""
     return df.mapInArrow(f, schema)
+
+
+def median_deviation(c: Column) -> Column:
+    """Median absolute deviation from the median (nulls don't count), a pandas aggregate: a group's values are held by one task, so it is for bounded groups."""
+    import pandas as pd
+
+    def deviation(values):
+        known = values.dropna()
+        return float((known - known.median()).abs().median()) if len(known) else None
+
+    # the types say that it is an aggregate; names alone could not be looked up, as pandas is imported here
+    deviation.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(deviation, "double")(c.cast("double"))
+
+
+class Runs:
+    """Table function over a partitioned, ordered table: one row per run of equal values, with state across rows.
+
+    Use: ``runs(TABLE(...) PARTITION BY key ORDER BY at)`` where the rows are (key, value, mark). Rows stream through, so a
+    partition is never held; a null value runs with null.
+    """
+
+    def __init__(self):
+        self.now = None
+
+    def eval(self, row):
+        key, value, mark = row[0], row[1], row[2]
+        if self.now is not None and self.now[1] == value:
+            self.now = (*self.now[:3], mark, self.now[4] + 1)
+        else:
+            if self.now is not None:
+                yield self.now
+            self.now = (key, value, mark, mark, 1)
+
+    def terminate(self):
+        if self.now is not None:
+            yield self.now
+
+
+def register_runs(spark: SparkSession, key_type: str = "bigint", value_type: str = "string", mark_type: str = "bigint") -> None:
+    """Make Runs callable from SQL as ``runs``: (key, value, first_mark, last_mark, n)."""
+    register_table_function(spark, "runs", Runs, f"key {key_type}, value {value_type}, first_mark {mark_type}, last_mark {mark_type}, n bigint")

@@ -41,9 +41,10 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
-    """Save as a table bucketed and sorted by ``keys``: joins and groupings on them then need no shuffle."""
-    df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite", path: str | None = None) -> None:
+    """Save as a table bucketed and sorted by ``keys`` (in the warehouse, or at ``path``): joins and groupings on them then need no shuffle."""
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 class _Numbers(InputPartition):
