@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import drop_durable, durable
 
 
 def _smallest(links: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = durable(now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = durable(_small_star(_large_star(now)), "edges")
+        before, now = now, durable(_small_star(_large_star(now)), "edges")
+        drop_durable(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if seen == mark or not seen[0]:
             roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
