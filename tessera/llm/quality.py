@@ -195,10 +195,14 @@ def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = 0.
     """The documents whose score reaches ``threshold``, with their own columns."""
     score = (lambda x: np.full(len(x), 0.5)) if model is None else model.score
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return pd.Series(score(np.array([text_features(t or "") for t in texts]).reshape(len(texts), len(FEATURES))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):  # a batch's texts are never all in Python at once
+                part = batch.slice(at, _BATCH)
+                x = np.array([text_features(t or "") for t in part.column(at_text).to_pylist()]).reshape(part.num_rows, len(FEATURES))
+                yield part.filter(pa.array(score(x) >= threshold))
 
-    return docs.filter(scores(F.col(text_col)) >= threshold)
+    at_text = docs.columns.index(text_col)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.operators.joins import counted_join
-from tessera.session import durable
+from tessera.session import drop_durable, durable
 
 _BATCH = 512
 #: A shingle of up to so many texts gives all its pairs at once, so at most half as many a row.
-_FEW = 64
+_FEW = 8
 #: So many rows of one shingle are held at most.
 _HELD = 65536
 
@@ -164,17 +164,27 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
     return placed.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(run, "pair boolean, x bigint, y bigint, n int, at int")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The components (src, dst) of those of ``pairs`` (a, b, src, dst; a stored table) whose whole sets are similar."""
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int, broadcast_bytes: int = 64_000_000) -> DataFrame:
+    """The components (src, dst; a stored table) of those of ``pairs`` (a, b, src, dst; a stored table) whose whole sets are similar.
+
+    Sets of texts with many pairs are broadcast as long as they take up to ``broadcast_bytes``; others are joined by shuffle.
+    """
     keys = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidates")
     hint = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
     sets = durable(_sets(texts.join(hint, "key", "left_semi"), words).dropDuplicates(["key"]).select("key", "shingles"), "shingle-sets")
 
     # a star's middle is at end b
     ends = durable(pairs.groupBy("b").agg(F.count("*").alias("times")).join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"), "ends")
-    both = counted_join(pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a"), ends, ["b"], "times", 2000)
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    total, largest = ends.agg(F.sum("times"), F.max(F.size("y"))).first()
+    share = max(1, min(2000, broadcast_bytes // (8 * (largest or 1))))
+    heavy = ends.filter(F.col("times") > (total or 0) / share).agg(F.sum(8 * F.size("y"))).first()[0] or 0
+    both = counted_join(left, ends, ["b"], "times", share) if heavy <= broadcast_bytes else left.join(ends, "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("src", "dst")
+    linked = durable(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("src", "dst"), "similar")
+    for table in (keys, sets, ends):
+        drop_durable(table)
+    return linked
 
 
 def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float = 0.8, words: int = 5, sample: int = 40_000, frequent: int = 1_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -186,6 +196,7 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, sample, frequent))
     prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]), "prefixes")
     met = durable(_meetings(prefixes, similarity), "meetings")
+    drop_durable(prefixes)
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
 
     parts = durable(connected_components(edges.select("src", "dst")), "parts")
@@ -199,8 +210,11 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
         pairs = durable(pairs.distinct().join(part("a", "src"), "a").join(part("b", "dst"), "b").filter("src <> dst"), "pairs")
         if pairs.isEmpty():
             return
-        wider = durable(connected_components(_similar(pairs, texts, words, similarity, broadcast_rows)), "wider")
+        linked = _similar(pairs, texts, words, similarity, broadcast_rows)
+        wider, before = durable(connected_components(linked), "wider"), labels
         labels = durable(labels.join(few(wider.select(F.col("node").alias("part"), "component")), "part", "left").select("key", "node", F.coalesce("component", "part").alias("part")), "labels")
+        for table in (pairs, linked, wider, before):
+            drop_durable(table)
 
     merge(met.filter("pair").select(F.col("x").alias("a"), F.col("y").alias("b")))
     # the texts of shingles of many texts that are still in several components
@@ -209,7 +223,10 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     def mixed() -> DataFrame:
         named = durable(rows.join(labels.select("key", "part"), "key"), "named")
         groups = durable(named.groupBy("h").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h", "many"), "mixed")
-        return durable(counted_join(named, groups, ["h"], "many"), "mixed-texts")
+        left = durable(counted_join(named, groups, ["h"], "many"), "mixed-texts")
+        for table in (named, groups):
+            drop_durable(table)
+        return left
 
     def passes(x: str, y: str) -> Column:
         c = lambda t, name: F.col(f"{t}{name}")
@@ -220,6 +237,7 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     if now.isEmpty():
         return labels.groupBy("node").agg(F.min("part").alias("component"))
     rows = now.select("h", "key", "n", "at")
+    drop_durable(met)
     one = lambda f: f(F.struct(F.xxhash64("key").alias("mixed"), "key", "n", "at", "part"))
     middles = durable(now.groupBy("h").agg(F.count("*").alias("many"), F.array(one(F.min), one(F.max)).alias("p")), "middles")
     star = counted_join(now.drop("many"), middles, ["h"], "many").withColumn("p", F.explode("p")).filter(passes("", "p."))
