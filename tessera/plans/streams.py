@@ -74,13 +74,14 @@ WITH s AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n, sum
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
     SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid)
 SELECT user_id, row_number() OVER w AS session, start, n, round(total, 4) AS total,
-  round(avg(epoch_us(last) - epoch_us(start)) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 1e6, 3) AS recent_seconds
+  round(avg(epoch_us(last) - epoch_us(start)) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 1e6, 3) AS recent_seconds,
+  row_number() OVER (PARTITION BY user_id, n ORDER BY start) AS same_size
 FROM s WHERE last + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY start)
 """)
 def stream_timer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     with keyed.rocksdb_state(spark):
         found = ev.run_to_table(keyed.timed_sessions(sliced_stream(spark, sf_dir), "user_id", 1800))
-    return found.select("user_id", "session", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), F.round(F.col("recent_us") / 1e6, 3).alias("recent_seconds"))
+    return found.select("user_id", "session", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), F.round(F.col("recent_us") / 1e6, 3).alias("recent_seconds"), "same_size")
 
 
 _ERRORS_AND_SIGNUPS = """

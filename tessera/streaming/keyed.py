@@ -40,11 +40,13 @@ def merge_sessions(sessions: list[tuple], gap: int) -> list[tuple]:
 
 
 class SessionTimers(StatefulProcessor):
-    """Sessions of one key: open ones in a map, each with a timer; closed ones are counted, and their last lengths listed.
+    """Sessions of one key: the open ones in a list, how many have closed in a value, how many of each size in a map.
 
     Events may come in any order within the watermark's delay, so several sessions can be
     open at once and one event can unite two. A session is emitted once the watermark has passed
-    its end by more than the gap, when no event can join it any more.
+    its end by more than the gap, when no event can join it any more. A key has one timer, for the session
+    that is due first; when it rings all that are due close together, so a batch costs a key a few
+    calls to its state, however many sessions it holds.
     """
 
     def __init__(self, key: str, gap_micros: int, remembered: int = 3):
@@ -52,57 +54,74 @@ class SessionTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start bigint", "end bigint, n bigint, total double")
-        self.closed = handle.getValueState("closed", "n bigint")
+        self.open = handle.getListState("open", "start bigint, end bigint, n bigint, total double")
         self.lengths = handle.getListState("lengths", "micros bigint")
+        self.sizes = handle.getMapState("sizes", "n bigint", "closed bigint")
+        self.key_state = handle.getValueState("key", "closed bigint, timer bigint")
 
     def _timer(self, end: int) -> int:
         return -(-(end + self.gap) // 1000) + 1
 
-    def _sessions(self) -> list[tuple]:
-        return [(k[0], *v) for k, v in self.open.iterator()]
+    def _keep(self, sessions: list[tuple], closed: int, timer: int) -> None:
+        """Store the open sessions and set the timer of the first that is due."""
+        if sessions:
+            self.open.put(sessions)
+        else:
+            self.open.clear()
+        first = min((self._timer(s[1]) for s in sessions), default=0)
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        self.key_state.update((closed, first))
+
+    def _state(self) -> tuple[list[tuple], int, int]:
+        known = self.key_state.get() if self.key_state.exists() else (0, 0)
+        return [tuple(s) for s in self.open.get()] if known[1] else [], known[0], known[1]
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
-        now = self._sessions()
+        sessions, closed, timer = self._state()
         fresh = [(int(us), int(us), 1, float(v)) for frame in rows for us, v in zip(frame["us"], frame["value"].fillna(0.0))]
-        merged = merge_sessions(now + fresh, self.gap)
-        gone, new = set(now) - set(merged), set(merged) - set(now)
-        for start, end, _, _ in gone:
-            self.open.removeKey((start,))
-            self.handle.deleteTimer(self._timer(end))
-        for start, end, n, total in new:
-            self.open.updateValue((start,), (end, n, total))
-        for _, end, _, _ in merged:  # equal timers of two sessions are one, so none may be lost with a united session
-            self.handle.registerTimer(self._timer(end))
+        self._keep(merge_sessions(sessions + fresh, self.gap), closed, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for start, end, n, total in sorted(s for s in self._sessions() if self._timer(s[1]) <= due):
-            self.open.removeKey((start,))
-            seen = (self.closed.get()[0] if self.closed.exists() else 0) + 1
-            self.closed.update((seen,))
-            lengths = [*(x[0] for x in self.lengths.get()), end - start][-self.remembered :] if self.lengths.exists() else [end - start]
+        sessions, closed, _ = self._state()
+        mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        due = sorted(s for s in sessions if self._timer(s[1]) <= mark)
+        lengths = [x[0] for x in self.lengths.get()] if closed else []
+        sizes, out = {}, []
+        for start, end, n, total in due:
+            closed += 1
+            lengths = [*lengths, end - start][-self.remembered :]
+            if n not in sizes:
+                sizes[n] = self.sizes.getValue((n,))[0] if self.sizes.containsKey((n,)) else 0
+            sizes[n] += 1
+            out.append((key[0], closed, start, end, n, total, sum(lengths) / len(lengths), sizes[n]))
+        for n, many in sizes.items():
+            self.sizes.updateValue((n,), (many,))
+        if lengths:
             self.lengths.put([(x,) for x in lengths])
-            out.append((key[0], seen, start, end, n, total, sum(lengths) / len(lengths)))
+        self._keep([s for s in sessions if self._timer(s[1]) > mark], closed, 0)  # the timer that rang is gone
         if out:
-            yield pd.DataFrame(out, columns=[self.key, "session", "start_us", "end_us", "n", "total", "recent_us"])
+            yield pd.DataFrame(out, columns=[self.key, "session", "start_us", "end_us", "n", "total", "recent_us", "same_size"])
 
     def close(self) -> None:
         pass
 
 
 def timed_sessions(df: DataFrame, key: str, gap_seconds: int, column: str = "ts", value: str = "value") -> DataFrame:
-    """Closed sessions of a watermarked stream: key, session (1, 2, ... per key), start_us, end_us, n, total, recent_us (mean length of the last three).
+    """Closed sessions of a watermarked stream: key, session (1, 2, ... per key), start_us, end_us, n, total, recent_us (mean length of
+    the last three), same_size (how many of as many events the key has closed so far).
 
     Rows without a key or time are left out; a null value counts as zero. Run it inside rocksdb_state().
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.filter(F.col(key).isNotNull() & F.col(column).isNotNull()).withColumn("us", F.unix_micros(column)).select(key, column, "us", F.col(value).cast("double").alias("value"))
-    schema = f"`{key}` {kind}, session bigint, start_us bigint, end_us bigint, n bigint, total double, recent_us double"
+    schema = f"`{key}` {kind}, session bigint, start_us bigint, end_us bigint, n bigint, total double, recent_us double, same_size bigint"
     return rows.groupBy(key).transformWithStateInPandas(SessionTimers(key, gap_seconds * 1_000_000), schema, "Append", "EventTime")
 
 

@@ -62,6 +62,8 @@ def test_sessions_out_of_order_equal_batch_sessions(spark, tmp_path):
     mark = max(r[1] for r in rows) - timedelta(minutes=10)
     want = sessions_of(rows, 7, mark)
     assert len(want) > 15 and plain(out) == want
+    for r in out:
+        assert r.same_size == sum(x.user_id == r.user_id and x.n == r.n and x.start_us <= r.start_us for x in out)
     lengths = {(u, n): (e - s).total_seconds() * 1e6 for u, n, s, e, _, _ in want}
     for r in out:
         last = [lengths[r.user_id, k] for k in range(max(1, r.session - 2), r.session + 1)]
