@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.dom import TEXT, Page, Shapes, read_page
@@ -207,9 +207,9 @@ def induce_wrappers(pages: DataFrame, samples: int = 8, most_nodes: int = 4000,
     """One row per host: host, n (its pages) and wrappers, an array of (layout, n, wrapper).
 
     Every page is read to find its layout. A layout's wrapper comes from up to ``samples``
-    different pages of it (those of the smallest hash in as many classes) of at most
-    ``most_nodes`` blocks: these bound what an alignment sees and costs, whatever the host's
-    size. The ids of the sample are broadcast up to ``broadcast_rows``, so pages aren't
+    different pages of it (those of the smallest hash in as many classes), of at most ``most_nodes`` blocks
+    where it has such pages; a layout of longer pages only takes its two shortest ones, whatever their length.
+    So an alignment's cost hangs on a layout's pages, not on the host's size. The ids of the sample are broadcast up to ``broadcast_rows``, so pages aren't
     shuffled for it. Pages without host, id or html take no part.
     """
 
@@ -228,9 +228,11 @@ def induce_wrappers(pages: DataFrame, samples: int = 8, most_nodes: int = 4000,
     keyed = keyed.filter("host <> '' AND id IS NOT NULL AND html <> ''")
     known = durable(keyed.mapInArrow(read, f"host string, id {kind}, h bigint, layout bigint, nodes int"), "layouts")
     sizes = known.groupBy("host", "layout").agg(F.count("*").alias("n"))
-    small = known.filter(F.col("nodes") <= most_nodes)
-    chosen = small.groupBy("host", "layout", F.pmod("h", F.lit(samples)).alias("class")).agg(F.min(F.struct("h", "id")).alias("least"))
-    chosen = durable(chosen.select("host", "layout", "least.h", "least.id"), "sample")
+    over = F.when(F.col("nodes") > most_nodes, F.col("nodes")).otherwise(0).alias("over")
+    chosen = known.groupBy("host", "layout", F.pmod("h", F.lit(samples)).alias("class")).agg(F.min(F.struct(over, "h", "id")).alias("least"))
+    # at most ``samples`` rows a layout
+    chosen = chosen.select("host", "layout", "least.*", F.row_number().over(Window.partitionBy("host", "layout").orderBy("least")).alias("at"), F.min("least.over").over(Window.partitionBy("host", "layout")).alias("best"))
+    chosen = durable(chosen.filter((F.col("over") == 0) | (F.col("best") > 0) & (F.col("at") <= 2)).select("host", "layout", "h", "id"), "sample")
     few = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
     # rows that repeat a sampled page are one
     sample = keyed.join(few, ["host", "id", "h"]).dropDuplicates(["host", "layout", "h"]).select("host", "layout", "html")

@@ -84,6 +84,24 @@ def test_alignment_decides(spark):
         assert "item2 is a long story with many words" in got[12].text
 
 
+def test_layouts_of_long_pages_have_wrappers(spark):
+    """No <article>, no names, and every page longer than the bound: without a wrapper the house's own lines would stay in."""
+    page = lambda t, n: "<body><div><p>Welcome to the house of pages</div><div><div><p>All of " + t + " at length</p>" + "".join(f"<p>part {k} of {t}" for k in range(n)) + "</div></div><div><p>write us</div>"
+    wanted = lambda t, n: "\n".join([f"All of {t} at length", *(f"part {k} of {t}" for k in range(n))])
+    for most, sizes in ((5, (20, 21, 22, 23)), (4000, (4010, 4011, 4012))):
+        rows = [(i, f"http://h.example.com/{i}", page(f"thing{i}", n)) for i, n in enumerate(sizes)]
+        frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        wrappers = induce_wrappers(frame, most_nodes=most)
+        assert [len(r.wrappers or []) for r in wrappers.collect()] == [1]
+        got = {r.page_id: r for r in extract_pages(frame, wrappers).collect()}
+        for i, n in enumerate(sizes):
+            assert got[i].wrapped and got[i].text == wanted(f"thing{i}", n)
+            assert plain_text(read_page(rows[i][2])) != got[i].text
+    # one short page of the layout is not enough to leave the long ones for
+    mixed = spark.createDataFrame(rows[:1] + [(9, "http://h.example.com/9", page("short", 4))], frame.schema)
+    assert sum(len(r.wrappers or []) for r in induce_wrappers(mixed, most_nodes=5).collect()) <= 1
+
+
 def test_names_are_not_needed_for_slots(monkeypatch):
     pages = [PAGE.format(t=t) for t in ("Alpha", "Beta", "Gamma delta")]
     monkeypatch.setattr(dom, "NAMES", frozenset())
