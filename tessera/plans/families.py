@@ -17,16 +17,16 @@ both("pipe_syntax", "FROM {orders} |> WHERE o_orderstatus <> 'P' |> EXTEND year(
 both("group_by_all", "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS q FROM {lineitem} GROUP BY ALL", "lineitem")
 both("string_functions_more", """
 SELECT p_partkey, substring_index(p_name, ' ', 1) AS si, sha2(p_name, 256) AS sh, hex(p_name) AS hx, base64(CAST(p_name AS BINARY)) AS b64, octet_length(p_name) AS ol, bit_length(p_name) AS bl,
-       find_in_set(p_brand, concat('x,', p_brand)) AS fs, ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, btrim(concat(' ', p_name, ' ')) AS bt,
+       find_in_set(substring(p_brand, 7, 1), '5,3,1') AS fs, ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, btrim(concat(' ', p_name, ' ')) AS bt,
        regexp_replace(p_name, '([a-z])([a-z])', '$2$1') AS sw, regexp_substr(p_name, '[aeiou][aeiou]') AS vs, regexp_like(p_name, '^[a-m]') AS rl, position('a' IN p_name) AS po, locate('e', p_name) AS lo,
        overlay(p_name PLACING '##' FROM 2 FOR 2) AS ov, char(65 + p_size % 26) AS ch, contains(p_name, 'e') AS ce, endswith(p_type, 'S') AS es, p_name ILIKE '%A%' AS il, lower(p_type) AS lw,
-       format_string('%05d|%s', p_partkey, p_brand) AS fm, nullif(p_brand, 'Brand#11') AS nb, concat(p_brand, p_type) AS cc, unhex(hex(p_brand)) = CAST(p_brand AS BINARY) AS un
+       format_string('%05d|%s', p_partkey, p_brand) AS fm, nullif(p_brand, 'Brand#11') AS nb, concat(p_brand, p_type) AS cc, CAST(unhex(hex(p_type)) AS STRING) AS un
 FROM {part}""", "part", """
 SELECT p_partkey, split_part(p_name, ' ', 1) AS si, sha256(p_name) AS sh, hex(p_name) AS hx, base64(encode(p_name)) AS b64, strlen(p_name)::INT AS ol, bit_length(p_name)::INT AS bl,
-       2 AS fs, p_name AS lt, p_name AS rt, p_name AS bt,
+       coalesce(list_position(['5', '3', '1'], substring(p_brand, 7, 1)), 0)::INT AS fs, p_name AS lt, p_name AS rt, p_name AS bt,
        regexp_replace(p_name, '([a-z])([a-z])', '\\2\\1', 'g') AS sw, nullif(regexp_extract(p_name, '[aeiou][aeiou]'), '') AS vs, regexp_matches(p_name, '^[a-m]') AS rl, position('a' IN p_name)::INT AS po, instr(p_name, 'e')::INT AS lo,
        left(p_name, 1) || '##' || substring(p_name, 4) AS ov, chr(65 + p_size % 26) AS ch, contains(p_name, 'e') AS ce, ends_with(p_type, 'S') AS es, p_name ILIKE '%A%' AS il, lower(p_type) AS lw,
-       printf('%05d|%s', p_partkey, p_brand) AS fm, nullif(p_brand, 'Brand#11') AS nb, concat(p_brand, p_type) AS cc, true AS un
+       printf('%05d|%s', p_partkey, p_brand) AS fm, nullif(p_brand, 'Brand#11') AS nb, concat(p_brand, p_type) AS cc, p_type AS un
 FROM {part}""")
 both("date_functions_more", """
 SELECT o_orderkey, to_date(date_format(o_orderdate, 'yyyy-MM-dd')) AS td, make_date(year(o_orderdate), month(o_orderdate), 1) AS md, next_day(CAST(o_orderdate AS DATE), 'MON') AS nd, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn,
@@ -52,43 +52,43 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(cb
 FROM {lineitem}""")
 both("array_functions_more", """
 SELECT o_custkey, array_join(sort_array(keys, false), ',') AS de, size(flatten(array(keys, keys))) AS fl, array_join(array_sort(array_union(keys, array(1L, 2L))), ',') AS un, array_join(array_except(keys, array(keys[0])), ',') AS ex,
-       array_join(array_intersect(keys, slice(keys, 1, 2)), ',') AS it, array_position(keys, keys[0]) AS po, array_join(array_repeat('x', 3), '') AS re, array_join(sequence(1, size(keys)), ',') AS se, array_join(array_append(keys, 0L), ',') AS ap,
-       array_join(array_prepend(keys, 0L), ',') AS pr, array_join(array_remove(keys, keys[0]), ',') AS rm, arrays_overlap(keys, array(keys[0])) AS ov, array_join(zip_with(keys, keys, (a, b) -> a + b), ',') AS zw, forall(keys, k -> k >= 0) AS fa,
-       array_join(reverse(keys), ',') AS rv, array_join(concat(keys, keys), ',') AS co, array_join(transform(arrays_zip(keys, keys), s -> s['0'] - s['1']), ',') AS az, try_element_at(keys, 1000) AS te, array_join(array_distinct(concat(keys, keys)), ',') AS di,
-       array_join(array_insert(keys, 1, 9L), ',') AS ai, size(array_compact(array(1, null, 2))) AS ac, cardinality(keys) AS ca
-FROM (SELECT o_custkey, array_sort(collect_list(o_orderkey)) AS keys FROM {orders} GROUP BY o_custkey)""".replace("arrays_zip(keys, keys), s -> s['0'] - s['1']", "arrays_zip(keys AS a, keys AS b), s -> s.a - s.b").replace("keys AS a, keys AS b", "keys, transform(keys, k -> k)").replace("s.a - s.b", "s['keys'] - s['1']"), "orders", """
+       array_join(array_intersect(keys, slice(keys, 1, 2)), ',') AS it, array_position(keys, keys[size(keys) div 2]) AS po, array_join(array_repeat('x', size(keys)), '') AS re, array_join(sequence(1, size(keys)), ',') AS se, array_join(array_append(keys, 0L), ',') AS ap,
+       array_join(array_prepend(keys, 0L), ',') AS pr, array_join(array_remove(keys, keys[0]), ',') AS rm, arrays_overlap(keys, array(10 * o_custkey, 10 * o_custkey + 1)) AS ov, array_join(zip_with(keys, keys, (a, b) -> a + b), ',') AS zw, forall(keys, k -> k % 7 <> 3) AS fa,
+       array_join(reverse(keys), ',') AS rv, array_join(concat(keys, keys), ',') AS co, array_join(transform(arrays_zip(keys, reverse(keys)), s -> s['keys'] - s['1']), ',') AS az, try_element_at(keys, 1000) AS te, array_join(array_distinct(concat(keys, keys)), ',') AS di,
+       array_join(array_insert(keys, 1, 9L), ',') AS ai, size(array_compact(transform(keys, k -> nullif(k % 3, 0)))) AS ac, cardinality(keys) AS ca
+FROM (SELECT o_custkey, array_sort(collect_list(o_orderkey)) AS keys FROM {orders} GROUP BY o_custkey)""", "orders", """
 SELECT o_custkey, array_to_string(list_reverse_sort(keys), ',') AS de, (2 * len(keys))::INT AS fl, array_to_string(list_sort(list_distinct(keys || [1, 2])), ',') AS un, array_to_string(list_filter(keys, lambda k: k <> keys[1]), ',') AS ex,
-       array_to_string(keys[1:2], ',') AS it, 1::BIGINT AS po, 'xxx' AS re, array_to_string(generate_series(1, len(keys)), ',') AS se, array_to_string(list_append(keys, 0), ',') AS ap,
-       array_to_string(list_prepend(0, keys), ',') AS pr, array_to_string(keys[2:], ',') AS rm, true AS ov, array_to_string(list_transform(keys, lambda k: 2 * k), ',') AS zw, true AS fa,
-       array_to_string(list_reverse(keys), ',') AS rv, array_to_string(keys || keys, ',') AS co, array_to_string(list_transform(keys, lambda k: 0), ',') AS az, keys[1000] AS te, array_to_string(keys, ',') AS di,
-       array_to_string(list_prepend(9, keys), ',') AS ai, 2 AS ac, len(keys)::INT AS ca
+       array_to_string(keys[1:2], ',') AS it, list_position(keys, keys[len(keys) // 2 + 1])::BIGINT AS po, repeat('x', len(keys)) AS re, array_to_string(generate_series(1, len(keys)), ',') AS se, array_to_string(list_append(keys, 0), ',') AS ap,
+       array_to_string(list_prepend(0, keys), ',') AS pr, array_to_string(keys[2:], ',') AS rm, list_has_any(keys, [10 * o_custkey, 10 * o_custkey + 1]) AS ov, array_to_string(list_transform(keys, lambda k: 2 * k), ',') AS zw, len(list_filter(keys, lambda k: k % 7 = 3)) = 0 AS fa,
+       array_to_string(list_reverse(keys), ',') AS rv, array_to_string(keys || keys, ',') AS co, array_to_string(list_transform(list_zip(keys, list_reverse(keys)), lambda z: z[1] - z[2]), ',') AS az, keys[1000] AS te, array_to_string(keys, ',') AS di,
+       array_to_string(list_prepend(9, keys), ',') AS ai, len(list_filter(keys, lambda k: k % 3 <> 0))::INT AS ac, len(keys)::INT AS ca
 FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys FROM {orders} GROUP BY o_custkey)""")
 both("posexploded_keys", "SELECT o_custkey, pos, k FROM (SELECT o_custkey, posexplode(array_sort(collect_list(o_orderkey))) AS (pos, k) FROM {orders} GROUP BY o_custkey)", "orders",
      "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS pos, o_orderkey AS k FROM {orders}")
 both("map_functions_more", """
-SELECT c_custkey, map_concat(m, map('x', '1'))['x'] AS mc, transform_values(m, (k, v) -> concat(v, '!'))['seg'] AS tv, transform_keys(m, (k, v) -> upper(k))['SEG'] AS tk, map_from_arrays(array('a', 'b'), array(c_nationkey, 2))['a'] AS fa,
-       array_join(transform(array_sort(map_entries(m)), e -> concat(e.key, '=', e.value)), ';') AS en, map_contains_key(m, 'nat') AS ck, str_to_map(concat('k:', c_mktsegment), ',', ':')['k'] AS sm, map_zip_with(m, m, (k, a, b) -> concat(a, b))['nat'] AS mz,
+SELECT c_custkey, map_concat(m, map('x', c_name))['x'] AS mc, transform_values(m, (k, v) -> concat(v, '!'))['seg'] AS tv, transform_keys(m, (k, v) -> upper(k))['SEG'] AS tk, map_from_arrays(array('a', 'b'), array(c_nationkey, 2))['a'] AS fa,
+       array_join(transform(array_sort(map_entries(m)), e -> concat(e.key, '=', e.value)), ';') AS en, map_contains_key(m, if(c_nationkey % 2 = 0, 'nat', 'none')) AS ck, str_to_map(concat('k:', c_mktsegment), ',', ':')['k'] AS sm, map_zip_with(m, m, (k, a, b) -> concat(a, b))['nat'] AS mz,
        map_from_entries(array(struct('p', c_name)))['p'] AS fe, array_join(array_sort(map_values(m)), '|') AS vs
 FROM (SELECT *, map('seg', c_mktsegment, 'nat', CAST(c_nationkey AS STRING)) AS m FROM {customer})""", "customer", """
-SELECT c_custkey, '1' AS mc, c_mktsegment || '!' AS tv, c_mktsegment AS tk, c_nationkey AS fa, 'nat=' || c_nationkey || ';seg=' || c_mktsegment AS en, true AS ck, c_mktsegment AS sm, c_nationkey::VARCHAR || c_nationkey AS mz, c_name AS fe,
+SELECT c_custkey, c_name AS mc, c_mktsegment || '!' AS tv, c_mktsegment AS tk, c_nationkey AS fa, 'nat=' || c_nationkey || ';seg=' || c_mktsegment AS en, c_nationkey % 2 = 0 AS ck, c_mktsegment AS sm, c_nationkey::VARCHAR || c_nationkey AS mz, c_name AS fe,
        array_to_string(list_sort([c_mktsegment, c_nationkey::VARCHAR]), '|') AS vs
 FROM {customer}""")
 both("semi_structured", """
 SELECT event_id, from_csv(to_csv(named_struct('a', user_id, 'b', event_type)), 'a BIGINT, b STRING').b AS cb, from_xml(concat('<r><u>', user_id, '</u></r>'), 'u BIGINT').u AS xu, xpath_string(concat('<r><t>', event_type, '</t></r>'), 'r/t') AS xp,
-       variant_get(parse_json(props), '$.k', 'int') AS vk, json_object_keys(props)[0] AS jk, try_variant_get(parse_json(props), '$.none', 'int') AS vn, variant_get(to_variant_object(named_struct('q', user_id)), '$.q', 'bigint') AS vq, get_json_object(props, '$.none') AS jn
-FROM {events}""", "events", "SELECT event_id, event_type AS cb, user_id AS xu, event_type AS xp, json_extract_string(props, '$.k')::INT AS vk, 'k' AS jk, NULL::INT AS vn, user_id AS vq, NULL::VARCHAR AS jn FROM {events}")
+       variant_get(parse_json(props), '$.k', 'int') AS vk, json_object_keys(props)[0] AS jk, try_variant_get(parse_json(props), '$.none', 'int') AS vn, variant_get(to_variant_object(named_struct('q', user_id)), '$.q', 'bigint') AS vq, get_json_object(props, if(event_id % 2 = 0, '$.k', '$.none')) AS jn
+FROM {events}""", "events", "SELECT event_id, event_type AS cb, user_id AS xu, event_type AS xp, json_extract_string(props, '$.k')::INT AS vk, 'k' AS jk, NULL::INT AS vn, user_id AS vq, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') END AS jn FROM {events}")
 both("json_tuples", "SELECT event_id, t.k FROM {events} LATERAL VIEW json_tuple(props, 'k') t AS k", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}")
 both("conditional_functions", """
 SELECT o_orderkey, nvl(nullif(o_orderstatus, 'F'), 'none') AS nv, nvl2(nullif(o_orderstatus, 'F'), 'set', 'unset') AS n2, ifnull(nullif(o_orderpriority, '1-URGENT'), '?') AS ifn, zeroifnull(nullif(o_custkey, 1L)) AS z, nullifzero(o_custkey % 2) AS nz, isnull(nullif(o_orderstatus, 'O')) AS isn,
-       isnotnull(o_orderkey) AS nn, equal_null(nullif(o_orderstatus, 'P'), NULL) AS en, if(o_totalprice > 1000, 'big', 'small') AS i, coalesce(NULL, o_orderstatus) AS c, typeof(o_orderkey) AS ty, decode(o_orderstatus, 'F', 'final', 'O', 'open', 'other') AS d
+       isnotnull(nullif(o_custkey % 3, 0)) AS nn, equal_null(nullif(o_orderstatus, 'P'), NULL) AS en, if(o_totalprice > 1000, 'big', 'small') AS i, coalesce(NULL, o_orderstatus) AS c, typeof(o_orderkey) AS ty, decode(o_orderstatus, 'F', 'final', 'O', 'open', 'other') AS d
 FROM {orders}""", "orders", """
 SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS nv, CASE WHEN o_orderstatus <> 'F' THEN 'set' ELSE 'unset' END AS n2, coalesce(nullif(o_orderpriority, '1-URGENT'), '?') AS ifn, CASE WHEN o_custkey = 1 THEN 0 ELSE o_custkey END AS z, nullif(o_custkey % 2, 0) AS nz, o_orderstatus = 'O' AS isn,
-       true AS nn, o_orderstatus = 'P' AS en, CASE WHEN o_totalprice > 1000 THEN 'big' ELSE 'small' END AS i, o_orderstatus AS c, 'bigint' AS ty, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS d
+       o_custkey % 3 <> 0 AS nn, o_orderstatus = 'P' AS en, CASE WHEN o_totalprice > 1000 THEN 'big' ELSE 'small' END AS i, o_orderstatus AS c, 'bigint' AS ty, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS d
 FROM {orders}""")
 both("collected_values", """
 SELECT o_orderpriority, array_join(array_sort(collect_set(o_orderstatus)), ',') AS statuses, array_join(array_sort(collect_list(o_custkey % 3)), '') AS thirds, listagg(DISTINCT o_orderstatus, '|') WITHIN GROUP (ORDER BY o_orderstatus) AS la, bit_and(o_custkey) AS ba, bit_or(o_custkey) AS bo,
-       bool_or(o_totalprice > 400000) AS bo2, count_if(o_orderstatus = 'F') AS ci, every(o_totalprice > 0) AS ev, mode(o_orderstatus) WITHIN GROUP (ORDER BY o_orderstatus) IS NOT NULL AS mo, try_sum(o_custkey) AS ts, max(struct(o_totalprice, o_orderkey)).o_orderkey AS top
-FROM {orders} GROUP BY o_orderpriority""".replace("mode(o_orderstatus) WITHIN GROUP (ORDER BY o_orderstatus) IS NOT NULL", "mode(o_orderstatus) IS NOT NULL"), "orders", """
+       bool_or(o_totalprice > 400000) AS bo2, count_if(o_orderstatus = 'F') AS ci, every(o_totalprice > 0) AS ev, mode(o_orderstatus) IS NOT NULL AS mo, try_sum(o_custkey) AS ts, max(struct(o_totalprice, o_orderkey)).o_orderkey AS top
+FROM {orders} GROUP BY o_orderpriority""", "orders", """
 SELECT o_orderpriority, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses, array_to_string(list_sort(list(o_custkey % 3)), '') AS thirds, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS la, bit_and(o_custkey) AS ba, bit_or(o_custkey) AS bo,
        bool_or(o_totalprice > 400000) AS bo2, count_if(o_orderstatus = 'F')::BIGINT AS ci, bool_and(o_totalprice > 0) AS ev, mode(o_orderstatus) IS NOT NULL AS mo, sum(o_custkey)::BIGINT AS ts, max(struct_pack(p := o_totalprice, k := o_orderkey)).k AS top
 FROM {orders} GROUP BY o_orderpriority""")
