@@ -16,6 +16,29 @@ def test_prior_and_risk():
     assert (good >= 0.5).mean() > 0.95 and (bad < 0.5).mean() > 0.95
 
 
+def test_fit_minimises_the_risk():
+    """The risk written out anew: nearby weights, each with its best bias, have no lower one."""
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (400, 2)), np.concatenate([rng.normal(1, 1, (250, 2)), rng.normal(-1, 1, (250, 2))])
+    prior, penalty = 0.5, 1e-3
+    model = quality.fit_model(p, u, prior, penalty, steps=1500)
+    a, b = (quality._design(x, model.cuts).astype(float) for x in (p, u))
+    loss = lambda z: np.logaddexp(0, -z).mean()
+
+    def risk(w):
+        def at(bias):
+            fp, fu = a @ w + bias, b @ w + bias
+            return prior * loss(fp) + max(0.0, loss(-fu) - prior * loss(-fp)) + penalty * (w @ w) / 2
+
+        return min(at(x) for x in np.linspace(-4, 4, 161))
+
+    found = risk(model.weights)
+    for size in (0.02, 0.1, 0.5):
+        for _ in range(8):
+            assert risk(model.weights + rng.normal(0, size, len(model.weights))) >= found - 2e-3
+    assert risk(np.zeros(len(model.weights))) > found + 0.05
+
+
 def test_score_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality.train_model(docs, labels)
