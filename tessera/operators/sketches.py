@@ -54,7 +54,7 @@ def merged_quantiles(sketches: DataFrame, group: list[str], shares: list[float])
 
 
 def rank_errors(df: DataFrame, estimates: DataFrame, group: list[str], value: str) -> DataFrame:
-    """``estimates`` (group, share, estimate) with ``off``: how far the share lies outside the exact ranks of its estimate (0 inside).
+    """``estimates`` (group, share, estimate) with ``off``, how far the share lies outside the exact ranks of its estimate (0 inside), and n, the values.
 
     One pass: rows meet their group's few estimates, as one array broadcast with the group; rows below and up to each are counted.
     """
@@ -62,7 +62,7 @@ def rank_errors(df: DataFrame, estimates: DataFrame, group: list[str], value: st
     rows = df.filter(F.col(value).isNotNull()).join(listed, group).select(*group, F.col(value).alias("_v"), F.explode("qs").alias("q"))
     ranks = rows.groupBy(*group, F.col("q.share").alias("share"), F.col("q.estimate").alias("estimate")).agg(F.count_if(F.col("_v") < F.col("q.estimate")).alias("below"), F.count_if(F.col("_v") <= F.col("q.estimate")).alias("upto"), F.count("*").alias("n"))
     off = F.greatest(F.col("below") / F.col("n") - F.col("share"), F.col("share") - F.col("upto") / F.col("n"), F.lit(0.0))
-    return ranks.select(*group, "share", "estimate", off.alias("off"))
+    return ranks.select(*group, "share", "estimate", off.alias("off"), "n")
 
 
 def frequent_sketches(df: DataFrame, group: list[Column], value: str, tracked: int = 1000) -> DataFrame:
