@@ -203,6 +203,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = 0.
                 part = batch.slice(at, _BATCH)
                 x = np.array([text_features(t or "") for t in part.column(at_text).to_pylist()]).reshape(part.num_rows, len(FEATURES))
                 yield part.filter(pa.array(score(x) >= threshold))
+        pa.default_memory_pool().release_unused()
 
     at_text = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)

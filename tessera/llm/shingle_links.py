@@ -83,6 +83,7 @@ def _sets(texts: DataFrame, words: int, similarity: float | None = None, frequen
                     ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["key", "n", "shingles"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return texts.select("key", "text").mapInArrow(run, "key bigint, n int, shingles array<bigint>")
 
@@ -159,6 +160,7 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
                 held, large = [c[:1] for c in held], True
         if held is not None:
             yield work(*held, large)
+        pa.default_memory_pool().release_unused()
 
     placed = prefixes.select("n", "key", F.posexplode("shingles").alias("at", "h")).select("h", "n", "key", "at")
     return placed.repartition("h").sortWithinPartitions("h", "n", "key").mapInArrow(run, "pair boolean, x bigint, y bigint, n int, at int")

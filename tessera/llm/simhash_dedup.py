@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
                 rows = batch.slice(at, _BATCH)
                 fps = np.array([shingle_simhash(t or "", words) for t in rows.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), rows.column(2)], names=[id_col, "fp", "key"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -25,7 +25,7 @@ _SPLIT = re.compile("[ \n]+")
 class WordEncoder:
     """Text to the ids' little-endian unsigned 32-bit bytes. ``max_words`` bounds the cache, not the result."""
 
-    def __init__(self, vocabulary: str, max_words: int = 500_000):
+    def __init__(self, vocabulary: str, max_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
