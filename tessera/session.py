@@ -36,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Keep the Arrow batches that this session's plans send to Python within ``most`` bytes (a longer row is a batch of its own).
+
+    Texts have no bounded length, and a task holds a batch several times over, in the JVM and in its worker.
+    A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if size > most:
+        spark.conf.set(name, f"{most}b")
+
+
 #: Folders of stored tables, by application.
 _TABLES: dict[str, list[str]] = {}
 

@@ -115,3 +115,28 @@ def test_durable_tables_are_removed(spark):
     path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert kept.count() == 10 and os.path.isdir(path)
     assert session.clear_durable(spark) == 1 and not os.path.exists(path) and session.clear_durable(spark) == 0
+
+
+def test_bounded_batches(spark):
+    from tessera.session import bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        spark.conf.set(name, "64m")
+        bounded_batches(spark, 1 << 20)
+        texts = spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 10000) AS t")
+        found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) == 1000 and max(found) <= 120
+        spark.conf.set(name, "1k")
+        bounded_batches(spark)
+        assert spark.conf.get(name) == "1k"
+    finally:
+        spark.conf.set(name, before)
