@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import bounded_batches, durable
 
 _BATCH = 512
 
@@ -135,6 +135,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int
                 kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names=names)
 
+    bounded_batches(docs.sparkSession)
     names = [id_col, "piece", "start", "length", "ids_crc32", "part", "part_rank"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, part_rank bigint"

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import bounded_batches
+
 #: Features of a text, in order; labels, language, source and id are none of them.
 FEATURES = (
     "words", "chars", "word_length", "short_words", "long_words", "distinct_words", "top_word", "same_as_before", "distinct_pairs", "upper_words", "title_words",
@@ -147,6 +149,7 @@ def _features(rows: DataFrame, schema: str, kept: list[str], score=None) -> Data
                 last = pa.array(list(x), type=pa.list_(pa.float64())) if score is None else pa.array(score(x))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], last], names=[*kept, "value"])
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -205,5 +208,6 @@ def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = 0.
                 yield part.filter(pa.array(score(x) >= threshold))
         pa.default_memory_pool().release_unused()
 
+    bounded_batches(docs.sparkSession)
     at_text = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,10 @@ elements. Any order finds all pairs; the one used puts shingles that are frequen
 sample of the texts last, so few unrelated texts meet. Of the shared elements the first
 one stands at places i and j with nothing in common before, so the overlap is at most
 min(n - i, m - j): a pair that is similar passes this bound there, and unrelated texts with
-a common passage don't. Each candidate pair is decided on the whole sets.
+a common passage don't. A print of 1,024 parity bits a set bounds the overlap from above: a
+bit that differs takes an element of one set alone, so similar sets of n and m elements differ
+in (1 - threshold) / (1 + threshold) * (n + m) bits at most. Only pairs within that are decided
+on the whole sets; unrelated sets of up to some 2,000 elements hardly ever are.
 
 The prefixes are dealt by shingle once. A shingle of few texts gives its pairs there and then.
 Of a shingle of many texts each text is held against the shortest one, then, where they are
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.operators.joins import counted_join
-from tessera.session import drop_durable, durable
+from tessera.session import bounded_batches, drop_durable, durable
 
 _BATCH = 512
+#: Bits of a set's print, a power of two and of 64 at least.
+_BITS = 1024
 #: A shingle of up to so many texts gives all its pairs at once, so at most half as many a row.
 _FEW = 8
 #: So many rows of one shingle are held at most.
@@ -50,26 +55,44 @@ def shingle_set(text: str, words: int = 5):
     return np.unique((out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def parity_print(shingles):
+    """The ``_BITS`` bits, as signed 64-bit words, that tell whether an odd number of ``shingles`` has each value of the upper bits."""
+    import numpy as np
+
+    places = (shingles >> np.uint64(65 - _BITS.bit_length())).astype(np.int64)
+    odd = np.bincount(places, minlength=_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
 def _sets(texts: DataFrame, words: int, similarity: float | None = None, frequent=None) -> DataFrame:
-    """(key, n, shingles) of each (key, text) with words; with ``similarity`` only the prefix, in the order of ``frequent`` (broadcast hashes and counts)."""
+    """(key, n, shingles, print) of each (key, text) with words; with ``similarity`` only the prefix, in the order of ``frequent`` (broadcast hashes and counts).
+
+    The print is that of the whole set, and null where the whole set is there itself.
+    """
+    bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def lists(arrays):
+            ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 rows = batch.slice(at, _BATCH)
-                keys, sizes, out = [], [], []
+                keys, sizes, out, prints = [], [], [], []
                 for key, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                     own = shingle_set(text, words)
                     if not (n := len(own)):
                         continue
                     if similarity is not None:
+                        prints.append(parity_print(own))
                         hashes, counts = frequent.value
                         rank = np.zeros(n, np.int64)
                         if len(hashes):
@@ -80,12 +103,11 @@ def _sets(texts: DataFrame, words: int, similarity: float | None = None, frequen
                     sizes.append(n)
                     out.append(own.view(np.int64))
                 if keys:
-                    ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["key", "n", "shingles"])
+                    columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists(out), lists(prints) if prints else pa.nulls(len(keys), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "shingles", "print"])
         pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
-    return texts.select("key", "text").mapInArrow(run, "key bigint, n int, shingles array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key bigint, n int, shingles array<bigint>, print array<bigint>")
 
 
 def _frequent(texts: DataFrame, words: int, sample: int, most: int):
@@ -198,6 +220,7 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, sample, frequent))
     prefixes = durable(_sets(texts, words, similarity, order).dropDuplicates(["key"]), "prefixes")
     met = durable(_meetings(prefixes, similarity), "meetings")
+    prints = durable(prefixes.select("key", "n", "print"), "prints")
     drop_durable(prefixes)
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
 
@@ -205,13 +228,23 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     labels = nodes.join(few(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     labels = durable(labels, "labels")
 
+    def within(x: str, y: str) -> Column:
+        apart = F.zip_with(f"{x}print", f"{y}print", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        most = (1 - similarity) / (1 + similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6
+        return F.aggregate(apart, F.lit(0), lambda a, b: a + b) <= most
+
     def merge(pairs: DataFrame) -> None:
         """Verify ``pairs`` (a, b) of texts in different components and merge the components that they link."""
         nonlocal labels
         part = lambda key, name: labels.select(F.col("key").alias(key), F.col("part").alias(name))
-        pairs = durable(pairs.distinct().join(part("a", "src"), "a").join(part("b", "dst"), "b").filter("src <> dst"), "pairs")
-        if pairs.isEmpty():
+        open = durable(pairs.distinct().join(part("a", "src"), "a").join(part("b", "dst"), "b").filter("src <> dst"), "open-pairs")
+        if open.isEmpty():
+            drop_durable(open)
             return
+        of = lambda key: prints.select(F.col("key").alias(key), F.struct("n", "print").alias(f"of_{key}"))
+        near = open.join(of("a"), "a").join(of("b"), "b").filter(within("of_a.", "of_b."))
+        pairs = durable(near.select("a", "b", "src", "dst"), "pairs")
+        drop_durable(open)
         linked = _similar(pairs, texts, words, similarity, broadcast_rows)
         wider, before = durable(connected_components(linked), "wider"), labels
         labels = durable(labels.join(few(wider.select(F.col("node").alias("part"), "component")), "part", "left").select("key", "node", F.coalesce("component", "part").alias("part")), "labels")
@@ -245,8 +278,8 @@ def link_similar(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     star = counted_join(now.drop("many"), middles, ["h"], "many").withColumn("p", F.explode("p")).filter(passes("", "p."))
     merge(star.select(F.col("key").alias("a"), F.col("p.key").alias("b")))
     # similar sets differ in size by the threshold at most: they are in one class or in neighbours
-    sized = mixed().withColumn("class", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)))
+    sized = mixed().join(prints.select("key", "print"), "key").withColumn("class", F.floor((1 - 1e-9) * F.log("n") / -math.log(similarity)))
     other = sized.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-    across = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter(passes("x.", "y.") & F.expr("x.n > y.n OR (x.n = y.n AND x.key > y.key)"))
+    across = sized.alias("x").join(other.alias("y"), ["h", "class"]).filter(passes("x.", "y.") & F.expr("x.n > y.n OR (x.n = y.n AND x.key > y.key)") & within("x.", "y."))
     merge(across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
     return labels.groupBy("node").agg(F.min("part").alias("component"))

@@ -11,7 +11,7 @@ from tessera.llm.hamming import linking_edges
 from tessera.llm.shingle_links import link_similar
 from tessera.operators.graph import connected_components
 from tessera.operators.joins import counted_join
-from tessera.session import durable
+from tessera.session import bounded_batches, durable
 
 _BATCH = 512
 
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), rows.column(2)], names=[id_col, "fp", "key"])
         pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col), F.col(text_col), key).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, key bigint")

@@ -2,9 +2,9 @@ import hashlib
 import random
 import re
 
-import xxhash
-
+import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm import fingerprints as prints
 from tessera.llm import shingle_links
@@ -103,3 +103,51 @@ def test_meetings_of_many_texts(spark, monkeypatch):
     assert {(*sorted((r.x, r.y)),) for r in got if r.pair} == pairs
     assert sorted((r.x, r.y) for r in got if not r.pair) == sorted(rest)
     assert all(rows[r.y][0] == r.n and at[r.y, r.x] == r.at for r in got if not r.pair)
+
+
+def test_parity_print_loses_no_similar_pair():
+    """Sets of Jaccard similarity 0.8 or more differ in no more bits than the bound; unrelated ones of up to 2,000 elements in more."""
+    rng = np.random.default_rng(5)
+    bits = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(a.view("<u8"), b.view("<u8")))
+    for n in (1, 2, 9, 40, 300, 2000, 30_000):
+        for _ in range(20):
+            base = rng.integers(0, 2**64, 2 * n, np.uint64)
+            shared = int(rng.integers(n - n // 9, n + 1))  # of n: Jaccard shared / (2 n - shared)
+            a, b = base[:n], base[n - shared : 2 * n - shared]
+            similar = shared / (2 * n - shared) >= 0.8
+            apart = bits(shingle_links.parity_print(a), shingle_links.parity_print(b))
+            assert apart <= 2 * (n - shared) and (not similar or apart <= 0.2 / 1.8 * 2 * n + 1e-6)
+            if 40 <= n <= 2000:
+                assert bits(shingle_links.parity_print(base[:n]), shingle_links.parity_print(base[n:])) > 0.2 / 1.8 * 2 * n
+    assert len(shingle_links.parity_print(np.zeros(0, np.uint64))) == 16
+
+
+def test_link_similar(spark, monkeypatch):
+    """Components by shingle sets alone equal brute force, with a passage that many texts share, copies, chains of edits and short texts."""
+    monkeypatch.setattr(shingle_links, "_FEW", 3)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    passage = [word() for _ in range(60)]
+    texts = ["", "one two", "one two", "One two"]
+    for _ in range(14):
+        base = [word() for _ in range(rng.choice((12, 60, 150)))] + (passage if rng.random() < 0.8 else [])
+        for _ in range(rng.randint(1, 4)):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(len(base))] = word()
+    texts = list(dict.fromkeys(texts)) * 2
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS key", "text").repartition(3)
+    nodes = frame.select("key", "key").toDF("key", "node").distinct()
+    got = {r.node: r.component for r in shingle_links.link_similar(frame, nodes, nodes.filter("false").toDF("src", "dst"), sample=5).collect()}
+    own = list({(r.key, r.text) for r in frame.collect()})
+    sets = [set(shingle_links.shingle_set(t).tolist()) for _, t in own]
+    root = [k for k, _ in own]
+    for _ in range(8):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if len(x & y) >= 0.8 * len(x | y) > 0:
+                    root[i] = root[j] = min(root[i], root[j])
+    groups = lambda pairs: sorted(sorted(k for k, c in pairs if c == one) for one in {c for _, c in pairs})
+    assert groups(got.items()) == groups([(k, r) for (k, _), r in zip(own, root)])
+    assert len(set(root)) < len(root)
