@@ -98,6 +98,19 @@ def counted_join(large: DataFrame, small: DataFrame, keys: list[str], count: str
     return near.union(large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how).select(*near.columns))
 
 
+def not_in(left: DataFrame, key: str, listed: DataFrame, value: str) -> DataFrame:
+    """SQL's ``key NOT IN (SELECT value FROM listed)`` as an equi-join.
+
+    A null in the list leaves no row; a null key stays only if the list is empty. Spark's own plan
+    broadcasts the list whole; here it is shuffled without repeats, and only its two counts (rows, nulls) are broadcast.
+    """
+    v = F.col(value)
+    counts = listed.agg(F.count("*").alias("_listed"), F.count_if(v.isNull()).alias("_nulls"))
+    kept = left.crossJoin(F.broadcast(counts)).filter((F.col("_listed") == 0) | (F.col("_nulls") == 0) & F.col(key).isNotNull())
+    keys = listed.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    return kept.join(keys, F.col(key) == F.col("_v"), "left_anti").select(*left.columns)
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits groups before the shuffle as well as after it."""
     w = Window.partitionBy(*keys).orderBy(*order)

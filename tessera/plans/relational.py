@@ -82,7 +82,15 @@ both("null_safe_join", "SELECT a.k AS k, a.n AS n, b.n AS m FROM (SELECT nullif(
 both("cross_join_small", "SELECT r_name, o_orderstatus, count(*) AS n FROM {region} CROSS JOIN (SELECT DISTINCT o_orderstatus FROM {orders}) s GROUP BY r_name, o_orderstatus", "region orders")
 both("semi_join", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "customer orders")
 both("anti_join", "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)", "orders lineitem")
-both("null_aware_not_in", "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT CASE WHEN l_linenumber > 0 THEN l_orderkey END FROM {lineitem} WHERE l_linenumber > 0)", "orders lineitem")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT CASE WHEN l_linenumber > 0 THEN l_orderkey END FROM lineitem WHERE l_linenumber > 0)")
+def null_aware_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN by shuffles: Spark plans it as a broadcast of the whole list, through the driver."""
+    listed = read_table(spark, sf_dir, "lineitem").filter("l_linenumber > 0").selectExpr("CASE WHEN l_linenumber > 0 THEN l_orderkey END AS k")
+    return joins.not_in(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", listed, "k")
+
+
 both("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM {orders} o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)", "orders")
 both("correlated_count", "SELECT c_custkey, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n FROM {customer}", "customer orders")
 both("lateral_join", "SELECT c_custkey, t.total FROM {customer} c, LATERAL (SELECT round(sum(o_totalprice), 2) AS total FROM {orders} o WHERE o.o_custkey = c.c_custkey) t", "customer orders")

@@ -71,3 +71,23 @@ def test_counted_join(spark):
         left = joins.counted_join(large, small, ["k"], "n", share, "left")
         assert sorted(map(str, left.select("k", "i", "name").collect())) == sorted(map(str, large.join(small, "k", "left").select("k", "i", "name").collect()))
     assert joins.counted_join(large, small.limit(0), ["k"], "n").count() == 0
+
+
+def test_not_in_is_not_broadcast(spark):
+    left = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k bigint")
+    for values in ([], [2], [2, 2, 3], [None], [2, None], [1, 2]):
+        listed = spark.createDataFrame([(v,) for v in values], "v bigint")
+        want = spark.sql("SELECT k FROM {l} WHERE k NOT IN (SELECT v FROM {t})", l=left, t=listed).collect()
+        assert sorted(map(str, joins.not_in(left, "k", listed, "v").collect())) == sorted(map(str, want)), values
+
+
+def test_null_aware_not_in_shuffles_its_list(spark, sf_dir):
+    from tessera.plans.relational import QUERIES
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the list is large
+    try:
+        plan = QUERIES["null_aware_not_in"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
