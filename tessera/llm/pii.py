@@ -135,26 +135,25 @@ def _described(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(pieces_of(text), lambda p: F.transform(spans, lambda s: near(p, s))))
 
 
-def known_candidates(docs: DataFrame, texts: int, text_col: str = "text") -> DataFrame:
-    """Candidates of about ``texts`` distinct texts (those of the smallest hashes): h, the text's hash, kind, look, label, made and FEATURES.
+def known_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Candidates of all distinct texts: h, the text's hash, place (in its text's spans), kind, look, label, made and FEATURES.
 
-    Confirmed ones are there a second time, ``made`` shorter.
+    Confirmed ones are there a second time, ``made`` shorter. Repeats of a text go as candidates, which are small rows, not as texts.
     """
-    keyed = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).filter(F.col(text_col).isNotNull())
-    many = keyed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
-    bound = int(min(1.0, texts / max(1, many)) * 2**64) - 2**63 - 1
-    some = keyed.filter((F.col("h") <= F.lit(bound)) & F.col("text").rlike("[0-9@]|at")).dropDuplicates(["h"])
     text, base = F.col("text"), lambda x: x["kind"].isin(*BASE)
-    found = some.withColumn("s", F.array_sort(F.concat(base_spans(text), candidates(text, True)))).withColumn("label", near_class(F.col("s"), base))
+    found = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).filter(text.rlike("[0-9@]|at"))
+    found = found.withColumn("s", F.array_sort(F.concat(base_spans(text), candidates(text, True)))).withColumn("label", near_class(F.col("s"), base))
     near = lambda p, s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), taken(p, F.greatest(s["start"] - 30, F.lit(0)), s["start"]).alias("before"), taken(p, s["end"], s["end"] + 3).alias("after"))
-    found = found.filter(F.size("s") > 0).withColumn("d", let(pieces_of(text), lambda p: F.transform("s", lambda s: near(p, s))))
-    rows = found.select("h", F.explode(F.zip_with("d", "label", lambda d, y: F.struct(d.alias("d"), y.cast("double").alias("label")))).alias("r")).select("h", "r.label", "r.d.*").filter(~F.col("kind").isin(*BASE))
+    found = found.withColumn("d", F.when(F.size("s") > 0, let(pieces_of(text), lambda p: F.transform("s", lambda s: near(p, s)))))
+    # an outer explode: Spark infers a filter from an inner one, which would look for the spans twice
+    rows = found.select("h", F.posexplode_outer(F.zip_with("d", "label", lambda d, y: F.struct(d.alias("d"), y.cast("double").alias("label")))).alias("place", "r"))
+    rows = rows.select("h", "place", "r.label", "r.d.*").filter(~F.col("kind").isin(*BASE)).distinct()
     # an address is still one with a short name and host, a number without its country's prefix: what the documents write is not the only way
     address = F.concat(F.regexp_extract("text", rf"([A-Za-z]+)[^A-Za-z]*?{_AT}", 1), F.lit("@"), F.regexp_extract("text", r"([A-Za-z0-9-]+\.[A-Za-z]{2,})$", 1))
     short = F.when(F.col("kind") == "email_like", F.when(address.rlike("^.+@.+$"), address)).otherwise(F.when(F.col("text").rlike(r"^[0-9]{1,3}\x20?\("), F.regexp_replace("text", r"^[0-9]{1,3}\x20?", "")))
     made = rows.filter("label = 1").withColumn("text", short).filter(F.col("text").isNotNull())
     rows = rows.withColumn("made", F.lit(False)).unionByName(made.withColumn("made", F.lit(True)))
-    return rows.select("h", "kind", look(F.col("kind"), F.col("text"), F.col("before")).alias("look"), "label", "made", features(_plain(F.col("kind"), F.col("text")), F.col("before"), F.col("after")).alias("f")).select("h", "kind", "look", "label", "made", "f.*")
+    return rows.select("h", "place", "kind", look(F.col("kind"), F.col("text"), F.col("before")).alias("look"), "label", "made", features(_plain(F.col("kind"), F.col("text")), F.col("before"), F.col("after")).alias("f")).select("h", "place", "kind", "look", "label", "made", "f.*")
 
 
 class CandidateModel:
@@ -193,15 +192,15 @@ def _tree(node) -> tuple | float:
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def train_model(docs: DataFrame, texts: int = 20_000, rounds: int = 10, precision: float = 0.95, support: int = 20, text_col: str = "text") -> CandidateModel | None:
-    """Fit on the candidates of three quarters of about ``texts`` documents; the others calibrate.
+def train_model(docs: DataFrame, rounds: int = 10, precision: float = 0.95, support: int = 20, text_col: str = "text") -> CandidateModel | None:
+    """Fit on the candidates of three quarters of all distinct texts; the others calibrate.
 
     A threshold is the lowest score from which on the held-out share of confirmed candidates
     is ``precision`` or more. It needs ``support`` held-out candidates of both labels: of the
     generator for plain looks, of the look itself for others. What has no threshold adds nothing.
     Without ``support`` candidates of both labels to fit on there is no model.
     """
-    rows = durable(known_candidates(docs, texts, text_col), "candidates")
+    rows = durable(known_candidates(docs, text_col), "candidates")
     held = F.pmod(F.xxhash64("h", F.lit("held")), F.lit(4)) == 0
     fit = rows.filter(~held)
     sizes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}

@@ -134,3 +134,14 @@ def test_no_model_without_candidates(spark):
     docs = spark.createDataFrame([(1, "no numbers"), (2, None), (3, "")], "doc_id bigint, text string")
     assert pii.train_model(docs) is None and pii.train_model(docs.limit(0)) is None
     assert [r.n_found for r in pii.pii_report(docs, None).collect()] == [0, 0, 0]
+
+
+def test_model_of_all_texts(spark):
+    """Every text counts, once, in the fit and in the calibration."""
+    texts = spark.range(26_000).selectExpr("concat('call +1 (386) 555-', 1000 + id % 9000, ' now, count ', 123456000 + id, ' rows') AS text")
+    rows = pii.known_candidates(texts.union(texts.limit(3000)))
+    held = texts.filter("pmod(xxhash64(xxhash64(text), 'held'), 4) = 0").count()
+    model = pii.train_model(texts.union(texts.limit(3000)), rounds=2)
+    counts = {y: sum(v[i] for v in model.report.values()) for i, y in enumerate((1, 0))}
+    assert counts == {1: held, 0: held} and held > 6000
+    assert rows.select("h").distinct().count() == 26_000 and rows.filter("not made").count() == 52_000
