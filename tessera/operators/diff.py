@@ -10,42 +10,26 @@ def table_diff(before: DataFrame, after: DataFrame, keys: list[str], most: int =
     """(keys, kind, columns, n): what turns ``before`` into ``after``, tables of the same columns.
 
     Equal rows cancel out one by one. A key with one row left on both sides has ``changed``, and ``columns`` names in
-    table order what differs; otherwise the rest is ``removed`` and ``added``, n rows each. Nulls equal nulls, null keys too. Keys
-    meet by cogroup, in Arrow batches; a key with over ``most`` rows in a table is never gathered in one task: its rows are
-    counted as bags by Spark and reported as removed and added only.
+    table order what differs; otherwise the rest is ``removed`` and ``added``, n rows each. Nulls equal nulls, null keys too. Rows are
+    counted as bags, first by key and row, then by key, each time before the shuffle as well as after it: no key's rows are ever
+    gathered. A key with over ``most`` rows in a table is reported as removed and added only.
     """
     columns = before.columns
     others = [c for c in columns if c not in keys]
-    rows = lambda df: df.select(*keys, *others).withColumn("_text", F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit(""))
-    a, b = rows(before), rows(after.select(*columns))
-    bags = lambda df, sign: df.groupBy(*keys, "_text").agg((sign * F.count("*")).alias("n"))
-    crowded = a.groupBy(*keys).count().union(b.groupBy(*keys).count()).filter(F.col("count") > most).select(*keys).distinct()
-    same = lambda x, y: F.forall(F.array(*(F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys)), lambda c: c)
-    hot = lambda df, how: df.alias("r").join(crowded.alias("c"), same("r", "c"), how).select(*(F.col(f"r.{c}").alias(c) for c in df.columns))
-    kinds = before.select(*keys).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", kind string, columns string, n bigint"
-
-    def compare(left, right):
-        import json
-
-        import pyarrow as pa
-
-        from collections import Counter
-
-        old, new = Counter(left.column("_text").to_pylist()), Counter(right.column("_text").to_pylist())
-        gone, come = old - new, new - old
-        key = (left if left.num_rows else right).slice(0, 1).select(keys)
-        if gone.total() == come.total() == 1:
-            x, y = (json.loads(next(iter(c))) for c in (gone, come))
-            found = [("changed", ",".join(c for c in others if x.get(c) != y.get(c)), 1)]
-        else:
-            found = [(kind, None, c.total()) for kind, c in (("removed", gone), ("added", come)) if c]
-        out = pa.concat_tables([key] * len(found)) if found else key.slice(0, 0)
-        for i, (name, kind) in enumerate((("kind", pa.string()), ("columns", pa.string()), ("n", pa.int64()))):
-            out = out.append_column(name, pa.array([f[i] for f in found], kind))
-        return out
-
-    few = hot(a, "left_anti").groupBy(*keys).cogroup(hot(b, "left_anti").groupBy(*keys)).applyInArrow(compare, schema)
-    many = bags(hot(a, "left_semi"), -1).union(bags(hot(b, "left_semi"), 1)).groupBy(*keys, "_text").agg(F.sum("n").alias("n")).filter("n <> 0")
-    many = many.groupBy(*keys, F.when(F.col("n") < 0, "removed").otherwise("added").alias("kind")).agg(F.abs(F.sum("n")).alias("n"))
-    return few.union(many.select(*keys, "kind", F.lit(None).cast("string").alias("columns"), "n"))
+    said = lambda c: F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}), F.lit(""))
+    texts = F.array(*map(said, others)) if others else F.array().cast("array<string>")
+    rows = lambda df, old, new: df.select(*keys, texts.alias("_row"), F.lit(old).alias("_old"), F.lit(new).alias("_new"))
+    both = rows(before, 1, 0).union(rows(after.select(*(F.col(f"`{c}`") for c in columns)), 0, 1))
+    bags = both.groupBy(*keys, "_row").agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    left = F.col("_old") - F.col("_new")
+    found = bags.groupBy(*keys).agg(
+        F.greatest(F.sum("_old"), F.sum("_new")).alias("_many"), F.sum(F.greatest(left, F.lit(0))).alias("_gone"), F.sum(F.greatest(-left, F.lit(0))).alias("_come"),
+        F.max(F.when(left > 0, F.col("_row"))).alias("_was"), F.max(F.when(left < 0, F.col("_row"))).alias("_is"),
+    ).filter("_gone + _come > 0")
+    one = (F.col("_many") <= most) & (F.col("_gone") == 1) & (F.col("_come") == 1)
+    names = F.array(*map(F.lit, others)) if others else F.array().cast("array<string>")
+    differ = F.array_join(F.filter(F.zip_with(names, F.zip_with("_was", "_is", lambda x, y: x != y), lambda c, d: F.when(d, c)), lambda c: c.isNotNull()), ",")
+    entry = lambda kind, columns, n: F.struct(F.lit(kind).alias("kind"), columns.alias("columns"), n.alias("n"))
+    none = F.lit(None).cast("string")
+    apart = F.filter(F.array(entry("removed", none, F.col("_gone")), entry("added", none, F.col("_come"))), lambda e: e["n"] > 0)
+    return found.select(*keys, F.explode(F.when(one, F.array(entry("changed", differ, F.lit(1).cast("bigint")))).otherwise(apart)).alias("_e")).select(*keys, "_e.*")

@@ -49,6 +49,16 @@ def test_one_hot_key_is_never_gathered(spark):
     assert sorted(map(tuple, table_diff(before, after, ["k"]).collect()), key=str) == [(1, "added", None, 10), (2, "added", None, 1)]
 
 
+def test_table_diff_gathers_no_key(spark):
+    """Rows are counted by Spark before and after each shuffle: no Python call a key."""
+    frame = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "k int, `v.w` string, x double")
+    later = spark.createDataFrame([(1, "a", -1.0), (2, "c", 2.0), (3, None, None)], "k int, `v.w` string, x double")
+    found = table_diff(frame, later, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Arrow" not in plan and "Python" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "changed", "x", 1), (2, "changed", "v.w,x", 1), (3, "added", None, 1)]
+
+
 def test_median_deviation(spark):
     rows = [("a", v) for v in (1.0, 1.0, 2.0, 2.0, 4.0, 6.0, 9.0)] + [("a", None), ("b", None), ("c", 5.0)]
     got = {r.g: r.d for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(extra.median_deviation(F.col("v")).alias("d")).collect()}
