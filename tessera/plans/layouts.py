@@ -68,8 +68,11 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority
 """)
 def colocated_orders(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFrame:
-    """Both tables stored in buckets of the order key: the join and the grouping behind it shuffle nothing."""
-    names = {}
+    """Both tables stored in buckets of the order key: the join and the grouping behind it shuffle nothing.
+
+    A task sorts a bucket, so there are as many as the line items need at about a million rows each, and ``buckets`` at least.
+    """
+    names, buckets = {}, max(buckets, -(-read_table(spark, sf_dir, "lineitem").count() // 1_000_000))
     for table, key, columns in (("orders", "o_orderkey", ["o_orderkey", "o_orderpriority"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"])):
         names[table] = f"bucketed_{table}_{uuid.uuid4().hex}"
         save_bucketed(read_table(spark, sf_dir, table).select(*columns), names[table], [key], buckets, path=scratch_path(spark, names[table]))

@@ -80,6 +80,14 @@ def test_colocated_join_and_grouping_have_no_exchange(spark, sf_dir):
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "SelectedBucketsCount: 8 out of 8" in plan
 
 
+def test_buckets_follow_the_table(spark, tmp_path):
+    spark.range(9_100_000).selectExpr("id % 7 AS l_orderkey", "1.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id AS o_orderkey", "'a' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    frame = QUERIES["colocated_orders"](spark, str(tmp_path))
+    assert "SelectedBucketsCount: 10 out of 10" in frame._jdf.queryExecution().executedPlan().toString()
+    assert {r.n for r in frame.collect()} == {1_300_000}
+
+
 def test_unwanted_years_are_not_read(spark, sf_dir):
     frame = QUERIES["pruned_years"](spark, sf_dir)
     years = {r.year for r in frame.collect()}
