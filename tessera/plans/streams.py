@@ -65,8 +65,9 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sliced_stream(spark: SparkSession, sf_dir: str, slices: int = 4, delay: str = "10 minutes", kind: str | None = None) -> DataFrame:
     """The event table as a stream of several batches in event order."""
     table = read_table(spark, sf_dir, "events")
-    path = ev.in_slices(table if kind is None else table.filter(F.col("event_type") == kind), "ts", slices)
-    return ev.with_event_time(ev.stream_files(spark, path, table.schema, 1), delay=delay)
+    rows = table if kind is None else table.filter(F.col("event_type") == kind)
+    files = ev.files_per_slice(rows, slices)
+    return ev.with_event_time(ev.stream_files(spark, ev.in_slices(rows, "ts", slices, files), table.schema, files), delay=delay)
 
 
 @query("""
@@ -113,7 +114,8 @@ def stream_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_through_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table by way of a log: streamed in, batch by batch, and streamed out of it again."""
     at, table = scratch_path(spark, "log"), read_table(spark, sf_dir, "events")
-    path = ev.in_slices(table, "ts", 3)
-    commit_log.append_to_log(ev.stream_files(spark, path, table.schema, 1), f"{at}/log", f"{at}/state")
+    files = ev.files_per_slice(table, 3)
+    path = ev.in_slices(table, "ts", 3, files)
+    commit_log.append_to_log(ev.stream_files(spark, path, table.schema, files), f"{at}/log", f"{at}/state")
     found = ev.run_to_table(commit_log.read_log(spark, f"{at}/log", table.schema, stream=True))
     return found.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"), F.min("event_id").alias("first_id"))

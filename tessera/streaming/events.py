@@ -70,19 +70,27 @@ def match_rates(joined: DataFrame, size: str, column: str = "ts") -> DataFrame:
     return joined.groupBy(F.window(column, size).alias("w")).agg(F.count("r_event_id").alias("pairs"), F.count_if(F.col("r_event_id").isNull()).alias("unmatched")).select(F.col("w.start").alias("start"), "pairs", "unmatched")
 
 
-def in_slices(df: DataFrame, column: str, slices: int) -> str:
-    """Store a table as ``slices`` files of rising ``column``, for stream_files() with one file a batch; returns the folder.
+def files_per_slice(df: DataFrame, slices: int, rows: int = 250_000) -> int:
+    """How many files of about ``rows`` rows a slice of ``df`` needs, so that no task's share grows with the table."""
+    return max(1, -(-df.count() // (slices * rows)))
 
-    Bounds come from approximate quantiles; each slice is one write, so that file times follow the order.
+
+def in_slices(df: DataFrame, column: str, slices: int, files: int = 1) -> str:
+    """Store a table as ``slices`` times ``files`` Parquet files, the slices of rising ``column``, for stream_files() with ``files`` files a batch; returns the folder.
+
+    Bounds come from approximate quantiles; each slice is one write by ``files`` tasks, so that file times follow the order. A
+    slice with fewer rows than files gets empty files: a batch never holds files of two slices.
     """
     spark = df.sparkSession
     path, at = scratch_path(spark, "slices"), F.unix_micros(F.col(column).cast("timestamp"))
     cuts = sorted(set((df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000)).first()[0] or []) if slices > 1 else []))
     bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
         part = df.filter(F.coalesce(at > low, F.lit(False)) if low is not None else (at <= high) | at.isNull() if high is not None else F.lit(True))
         part = part if high is None or low is None else part.filter(at <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        for _ in range((i + 1) * files - len(spark.read.schema(df.schema).parquet(path).inputFiles()) if files > 1 else 0):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -177,3 +177,17 @@ def test_slices_keep_all_rows(spark):
         assert sorted(map(str, back.collect())) == sorted(map(str, frame.collect()))
     assert spark.read.parquet(ev.in_slices(frame.limit(0), "ts", 4)).count() == 0
     assert spark.read.parquet(ev.in_slices(frame.filter("ts is null"), "ts", 4)).count() == 12
+
+
+def test_slices_of_several_files_are_batches(spark):
+    """Each slice is written by several tasks; a batch is one slice, also where a slice has fewer rows than files."""
+    rows = [(i, at(0 if i < 90 else i), 1, "a", 1.0) for i in range(100)]  # the quantiles leave one large slice and a small one
+    for n, files, frame in ((4, 3, spark.createDataFrame(rows, SCHEMA).repartition(5)), (3, 8, spark.createDataFrame(rows[80:], SCHEMA))):
+        path, batches = ev.in_slices(frame, "ts", n, files), []
+        assert len(spark.read.parquet(path).inputFiles()) % files == 0
+        stream = ev.stream_files(spark, path, frame.schema, files)
+        query = stream.writeStream.foreachBatch(lambda b, _: batches.append(sorted(r.ts for r in b.collect()))).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
+        query.awaitTermination()
+        full = [b for b in batches if b]
+        assert sum(map(len, full)) == frame.count() and all(a[-1] < b[0] for a, b in zip(full, full[1:])) and len(full) > 1
+    assert ev.files_per_slice(spark.range(10), 2) == 1 and ev.files_per_slice(spark.range(101), 2, 10) == 6
