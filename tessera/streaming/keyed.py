@@ -40,7 +40,7 @@ def merge_sessions(sessions: list[tuple], gap: int) -> list[tuple]:
 
 
 class SessionTimers(StatefulProcessor):
-    """Sessions of one key: the open ones in a list, how many have closed in a value, how many of each size in a map.
+    """Sessions of one key: the open ones and how many have closed in a value, how many of each size in a map.
 
     Events may come in any order within the watermark's delay, so several sessions can be
     open at once and one event can unite two. A session is emitted once the watermark has passed
@@ -54,58 +54,49 @@ class SessionTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start bigint, end bigint, n bigint, total double")
-        self.lengths = handle.getListState("lengths", "micros bigint")
         self.sizes = handle.getMapState("sizes", "n bigint", "closed bigint")
-        self.key_state = handle.getValueState("key", "closed bigint, timer bigint")
+        self.key_state = handle.getValueState("key", "closed bigint, timer bigint, open array<struct<start:bigint,end:bigint,n:bigint,total:double>>, lengths array<bigint>")
 
     def _timer(self, end: int) -> int:
         return -(-(end + self.gap) // 1000) + 1
 
-    def _keep(self, sessions: list[tuple], closed: int, timer: int) -> None:
+    def _keep(self, sessions: list[tuple], lengths: list[int], closed: int, timer: int) -> None:
         """Store the open sessions and set the timer of the first that is due."""
-        if sessions:
-            self.open.put(sessions)
-        else:
-            self.open.clear()
         first = min((self._timer(s[1]) for s in sessions), default=0)
         if first != timer:
             if timer:
                 self.handle.deleteTimer(timer)
             if first:
                 self.handle.registerTimer(first)
-        self.key_state.update((closed, first))
+        self.key_state.update((closed, first, sessions, lengths))
 
-    def _state(self) -> tuple[list[tuple], int, int]:
-        known = self.key_state.get() if self.key_state.exists() else (0, 0)
-        return [tuple(s) for s in self.open.get()] if known[1] else [], known[0], known[1]
+    def _state(self) -> tuple[list[tuple], list[int], int, int]:
+        known = self.key_state.get()
+        return ([tuple(x) for x in known[2]], list(known[3]), known[0], known[1]) if known else ([], [], 0, 0)
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
-        sessions, closed, timer = self._state()
+        sessions, lengths, closed, timer = self._state()
         fresh = [(int(us), int(us), 1, float(v)) for frame in rows for us, v in zip(frame["us"], frame["value"].fillna(0.0))]
-        self._keep(merge_sessions(sessions + fresh, self.gap), closed, timer)
+        self._keep(merge_sessions(sessions + fresh, self.gap), lengths, closed, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        sessions, closed, _ = self._state()
+        sessions, lengths, closed, _ = self._state()
         mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         due = sorted(s for s in sessions if self._timer(s[1]) <= mark)
-        lengths = [x[0] for x in self.lengths.get()] if closed else []
         sizes, out = {}, []
         for start, end, n, total in due:
             closed += 1
             lengths = [*lengths, end - start][-self.remembered :]
             if n not in sizes:
-                sizes[n] = self.sizes.getValue((n,))[0] if self.sizes.containsKey((n,)) else 0
+                sizes[n] = (self.sizes.getValue((n,)) or (0,))[0]
             sizes[n] += 1
             out.append((key[0], closed, start, end, n, total, sum(lengths) / len(lengths), sizes[n]))
         for n, many in sizes.items():
             self.sizes.updateValue((n,), (many,))
-        if lengths:
-            self.lengths.put([(x,) for x in lengths])
-        self._keep([s for s in sessions if self._timer(s[1]) > mark], closed, 0)  # the timer that rang is gone
+        self._keep([s for s in sessions if self._timer(s[1]) > mark], lengths, closed, 0)  # the timer that rang is gone
         if out:
             yield pd.DataFrame(out, columns=[self.key, "session", "start_us", "end_us", "n", "total", "recent_us", "same_size"])
 

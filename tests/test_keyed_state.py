@@ -191,3 +191,34 @@ def test_slices_of_several_files_are_batches(spark):
         full = [b for b in batches if b]
         assert sum(map(len, full)) == frame.count() and all(a[-1] < b[0] for a, b in zip(full, full[1:])) and len(full) > 1
     assert ev.files_per_slice(spark.range(10), 2) == 1 and ev.files_per_slice(spark.range(101), 2, 10) == 6
+
+
+def test_a_batch_costs_a_key_one_read_and_one_write():
+    """Each state call is a round trip to the JVM, so what a key holds is read and written at once."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, row):
+            calls.append("update")
+            self.held = row
+
+    class Handle:
+        getValueState = lambda self, *_: Value()
+        getMapState = lambda self, *_: None
+        registerTimer = lambda self, _: calls.append("timer")
+        deleteTimer = lambda self, _: calls.append("timer")
+
+    made = keyed.SessionTimers("k", 1_000_000)
+    made.init(Handle())
+    for us in (5_000_000, 5_500_000, 9_000_000):
+        list(made.handleInputRows((1,), iter([pd.DataFrame({"us": [us], "value": [1.0]})]), None))
+    assert calls.count("get") == calls.count("update") == 3 and len(calls) <= 9
+    assert made.key_state.held[2] == [(5_000_000, 5_500_000, 2, 2.0), (9_000_000, 9_000_000, 1, 1.0)]
